@@ -9,7 +9,7 @@ from chunkyard.llm.common import load, stage
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return decontaminate.drop_contaminated(docs, load(spark, sf_dir, "benchmark"))
+    return decontaminate.drop_contaminated(docs, load(spark, sf_dir, "benchmark"), least_items=1)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,7 +25,8 @@ from chunkyard.llm.common import map_slices, text_rows
 WIDTH = 8
 #: An item set up to this size makes one automaton; a larger one is dealt into several, scanned in turn.
 AUTOMATON_TEXT_BYTES = 16 << 20
-_WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+#: Over the text as it is, so with A-Z among the word characters.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _FORM = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
 SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType()), T.StructField("item_id", T.StringType())]))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkyard.llm import bpe, chat, decontaminate, licenses, rules, simhash, tokenfile
+from chunkyard.llm import bpe, chat, ctw, decontaminate, licenses, rules, simhash, tokenfile
 from chunkyard.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,11 @@ def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
+@query
+def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ctw.score_documents(load(spark, sf_dir, "documents"))
+
+
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(load(spark, sf_dir, "documents"))

@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkyard.llm import bpe, chat, ctw, decontaminate, licenses, rules, simhash, tokenfile
-from chunkyard.llm.common import load
+from chunkyard.llm import attention, bpe, chat, ctw, decontaminate, licenses, rules, simhash, tokenfile
+from chunkyard.llm.common import load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -23,6 +23,13 @@ def hex_of(text) -> F.Column:
     return F.sha2(text, 256)
 
 
+@query
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    scored = attention.score_documents(docs, attention.fit(docs, load(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= attention.LEAST_SCORE).cast("int").alias("predicted"))
+
+
 @query
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan_licenses(load(spark, sf_dir, "documents"))

@@ -30,15 +30,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "secret")
-#: In the form in which a search visits a run once.
-EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+"
+#: In the form in which a search visits a run once; repeated groups are possessive, which takes no stack.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
-CARD = r"[0-9](?:[\x20-]?[0-9])+"
+CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 
 NAMED = r"(?i)(?<![A-Za-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?\x20{0,2}[:=]\x20{0,2}[\"']?[^\s\"',;]{6,}"
 KEY = r"(?<![A-Za-z0-9_/+=-])[A-Za-z0-9_/+=-]{16,}+"
-LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|@)\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]++)+"
+LOOSE_EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?(?:\(at\)|\[at\]|@)\x20?[A-Za-z0-9-]++(?:\x20?(?:\(dot\)|\[dot\]|\.)\x20?[A-Za-z0-9-]++)++"
 LOOSE_PHONE = r"(?<![A-Za-z0-9+.-])\(?[0-9]{2,5}\)?(?:[\x20.-][0-9]{2,5}){2,4}(?![A-Za-z0-9-])"
 
 PRECISION = 0.99
@@ -100,8 +100,8 @@ def candidates(text: Column) -> Column:
     parts = []
     for number, (pattern, kind) in enumerate(_CANDIDATES):
         spans = _of_kind(found(text, pattern), kind)
-        if pattern is KEY:  # a key has a digit or is all capitals; long words are not proposed
-            spans = F.filter(spans, lambda s: s["what"].rlike("[0-9]") | s["what"].rlike("^[A-Z]+$"))
+        if pattern is KEY:  # a key has a digit, or a known form; long words are not proposed
+            spans = F.filter(spans, lambda s: s["what"].rlike("[0-9]|^A[KS]IA[A-Z]{16}$"))
         if pattern is LOOSE_EMAIL:
             spans = F.when(F.contains(text, F.lit("@")) | F.contains(text, F.lit("at)")) | F.contains(text, F.lit("at]")), spans).otherwise(F.array().cast(_SPANS))
         parts.append(F.transform(spans, _featuring(text, number)))

@@ -36,8 +36,10 @@ from chunkyard.llm.common import map_slices, scratch_path, stage, text_rows
 
 END_ID = 2
 #: Entries in each of the two generations of a worker's memory of encoded chunks.
-REMEMBERED_CHUNKS = 200_000
+REMEMBERED_CHUNKS = 400_000
 REMEMBERED_CHARS = 200
+#: Documents whose chunks are looked up together.
+SLICE_DOCS = 2048
 
 # Fixed values of the zstandard formats.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -77,7 +79,7 @@ class ChunkedTokenizer:
         for token, i in self.library.get_vocab().items():
             self.starts[i] = token.startswith(space)
         self.line_end = self._raw(["\n"])[0]
-        self.limit, self.young, self.old = remembered, {}, {}
+        self.limit, self.young, self.old, self.ends = remembered, {}, {}, {}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -96,16 +98,35 @@ class ChunkedTokenizer:
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """Packed ids of chunks without inner white space: one that starts with a line end has no space before it."""
-        stems = {c: s for c in chunks if (s := c.rstrip(".,")) != c and s[-1:].isalpha()}
-        plain = {*chunks.difference(stems), *stems.values()}
-        found = {c: ids for c in plain if (ids := self.young.get(c) or self.old.get(c))}
-        new = [c for c in plain if c not in found]
+        young, old, ends = self.young.get, self.old.get, self.ends
+        found: dict[str, bytes] = {}
+        new: set[str] = set()
+        waiting: list[tuple[str, str]] = []
+        for c in chunks:
+            if (ids := old(c)) is not None:
+                found[c] = ids
+                continue
+            stem = c.rstrip(".,")
+            if len(stem) == len(c) or not stem[-1:].isalpha():
+                new.add(c)
+            elif (ids := young(stem) or old(stem)) is not None:
+                found[c] = ids + (ends.get(c[len(stem) :]) or self._end(c[len(stem) :]))
+            else:
+                new.add(stem)
+                waiting.append((c, stem))
         spaced, opening = [c for c in new if c[0] != "\n"], [c for c in new if c[0] == "\n"]
         found |= zip(spaced, self._spaced(spaced), strict=True)
         found |= zip(opening, [self.line_end + ids for ids in self._raw([c[1:] for c in opening])], strict=True)
-        ends = list({c[len(s) :] for c, s in stems.items()})
-        after = dict(zip(ends, self._raw(ends), strict=True))
-        return found | {c: found[s] + after[c[len(s) :]] for c, s in stems.items()}
+        for c, stem in waiting:
+            found[c] = found[stem] + (ends.get(c[len(stem) :]) or self._end(c[len(stem) :]))
+        return found
+
+    def _end(self, end: str) -> bytes:
+        """The packed ids of full stops and commas after a letter."""
+        ids = self._raw([end])[0]
+        if len(end) < 9:  # a bounded number of them
+            self.ends[end] = ids
+        return ids
 
     def _slow(self, text: str) -> bytes:
         """With white space of any kind."""
@@ -122,12 +143,15 @@ class ChunkedTokenizer:
                 out[i] = self._raw([text])[0]
                 continue
             chunks = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-            new = set(chunks).difference(young)
-            if any(not c[1:] and c in ("", "\n") or len(("-" + c[c[:1] == "\n" :] + "-").split()) > 1 for c in new):
-                out[i] = self._slow(text)
-            else:
-                cut.append((i, chunks))
-                needed |= new
+            needed.update(set(chunks).difference(young))
+            cut.append((i, chunks))
+        spoilt = {c for c in needed if c.split() != [c.removeprefix("\n")]}
+        if spoilt:
+            needed -= spoilt
+            for i, chunks in cut:
+                if not spoilt.isdisjoint(chunks):
+                    out[i] = self._slow(texts[i])
+            cut = [x for x in cut if out[x[0]] is None]
         young.update(self._learn(needed))
         for i, chunks in cut:
             out[i] = b"".join(map(young.__getitem__, chunks))[len(self.line_end) :]
@@ -219,8 +243,8 @@ def write_token_files(docs: DataFrame, out_dir: str | None = None, vocabulary: s
         own, final = f"{base}/.writing-{number}-{uuid.uuid4().hex}", f"{base}/tokens-{number:06d}.zst"
         writer = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                columns = batch.slice(at, 512).to_pydict()
+            for at in range(0, batch.num_rows, SLICE_DOCS):
+                columns = batch.slice(at, SLICE_DOCS).to_pydict()
                 writer = writer or FrameWriter(system.open_output_stream(own))
                 for doc_id, ids in zip(columns["doc_id"], tokenizer.encode(columns["text"]), strict=True):
                     writer.put(doc_id, ids + end)
@@ -235,6 +259,11 @@ def write_token_files(docs: DataFrame, out_dir: str | None = None, vocabulary: s
     return manifest.withColumn("start", F.coalesce(F.sum("n_ids").over(before), F.lit(0)))
 
 
+def parallelism(df: DataFrame) -> int:
+    """As many tasks as the session shuffles into; stated, so that few small rows are not put into one task."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def read_token_files(manifest: DataFrame) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document, from the files."""
 
@@ -254,7 +283,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
 
         return step
 
-    return map_slices(manifest.select("path", "start").repartition("path"), READ, start, rows=1)
+    return map_slices(manifest.select("path", "start").repartition(parallelism(manifest), "path"), READ, start, rows=1)
 
 
 def documents_of(paths: list[str], doc_ids: set[int]) -> dict[int, list[bytes]]:

@@ -7,7 +7,7 @@ linked to each other already, so each is joined to one of them only, never all p
 
 What is shuffled is packed: a block of fingerprints sorts the hashes of its variants and deals them
 by leading bits into buckets; a bucket gets, from each block, the sorted hashes as low bytes and
-counts per cell, and for each the place of its fingerprint in the block: under four bytes a variant.
+counts per cell, and for each the place of its fingerprint in the block: 3.3 bytes a variant.
 The width of the hashes grows with the logarithm of the number of variants, which keeps those that
 meet by chance rare; verification removes them, and no true meeting is lost.
 
@@ -22,6 +22,7 @@ by ``drop_near_duplicates``).
 
 from __future__ import annotations
 
+import gc
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -38,12 +39,16 @@ SHINGLE_WORDS = 4
 SEED = 42
 BITS = 64
 RADIUS = 2
-#: Fingerprints whose variants are made at once; bounds a worker's memory (8 bytes * 2,081 for each, a few times).
-BLOCK = 2048
-#: Variants that one bucket gets on average, at most.
-BUCKET_VARIANTS = 1 << 21
+#: Fingerprints whose variants are made and sorted at once; a place in a block takes one byte.
+BLOCK = 256
+#: Variants that one bucket gets on average, at most; it holds seven bytes for each.
+BUCKET_VARIANTS = 1 << 24
+#: Variants of a bucket that are sorted together, about.
+RANGE_VARIANTS = 1 << 20
+#: Groups of up to so many fingerprints are compared pair by pair, as chance meetings make them.
+SMALL_GROUP = 4
 #: Hashes are wider than the count of all variants by so many bits.
-SPARE_BITS = 8
+SPARE_BITS = 6
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _FINGERPRINT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
 
@@ -112,29 +117,26 @@ def layout(n_fingerprints: int) -> tuple[int, int]:
 
 def pack_block(fps: np.ndarray, hash_bits: int, bucket_bits: int) -> list[tuple[int, bytes]]:
     """A block's variants for every bucket."""
-    place_bits = max(1, (len(fps) - 1).bit_length())
     keys = mixed((fps[:, None] ^ ball_masks()[None, :]).ravel())
     keys >>= np.uint64(64 - hash_bits)
-    keys <<= np.uint64(place_bits)
+    keys <<= np.uint64(8)
     keys |= np.repeat(np.arange(len(fps), dtype=np.uint64), len(ball_masks()))
     keys.sort()
     rest_bits = hash_bits - bucket_bits
-    edges = np.searchsorted(keys, np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(rest_bits + place_bits))
+    edges = np.searchsorted(keys, np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(rest_bits + 8))
     zip_, out = zstandard.ZstdCompressor(level=1), []
     for bucket, (a, b) in enumerate(zip(edges.tolist(), [*edges.tolist()[1:], len(keys)], strict=True)):
-        places = (keys[a:b] & np.uint64((1 << place_bits) - 1)).astype("<u2")
-        hashes = (keys[a:b] >> np.uint64(place_bits)) & np.uint64((1 << rest_bits) - 1)
+        hashes = (keys[a:b] >> np.uint64(8)) & np.uint64((1 << rest_bits) - 1)
         cells = np.bincount((hashes >> np.uint64(16)).astype(np.int64), minlength=1 << (rest_bits - 16))
         cells = cells.astype("u1") if cells.max(initial=0) < 256 else cells.astype("<u4")
-        planes = places.view("u1").reshape(-1, 2)
-        body = b"".join([fps.astype("<u8").tobytes(), cells.tobytes(), hashes.astype("<u2").tobytes(), planes[:, 0].tobytes(), planes[:, 1].tobytes()])
+        body = b"".join([fps.astype("<u8").tobytes(), cells.tobytes(), hashes.astype("<u2").tobytes(), keys[a:b].astype("u1").tobytes()])
         head = np.array([len(fps), cells.itemsize, len(cells), b - a], dtype="<u4").tobytes()
         out.append((bucket, zip_.compress(head + body)))
     return out
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """The hashes (within the bucket) and the fingerprints they are of."""
+def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hashes (within the bucket, sorted), the places of their fingerprints, and the block's fingerprints."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n_fps, item, n_cells, n = np.frombuffer(raw, "<u4", 4).tolist()
     at = 16
@@ -143,10 +145,9 @@ def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
     cells = np.frombuffer(raw, "u1" if item == 1 else "<u4", n_cells, at)
     at += item * n_cells
     low = np.frombuffer(raw, "<u2", n, at)
-    at += 2 * n
-    places = np.frombuffer(raw, "u1", n, at).astype(np.uint16) | (np.frombuffer(raw, "u1", n, at + n).astype(np.uint16) << 8)
-    hashes = (np.repeat(np.arange(n_cells, dtype=np.uint64), cells) << np.uint64(16)) | low
-    return hashes, fps[places]
+    places = np.frombuffer(raw, "u1", n, at + 2 * n)
+    kind = np.uint32 if n_cells <= 1 << 16 else np.uint64
+    return (np.repeat(np.arange(n_cells, dtype=kind), cells) << kind(16)) | low, places, fps
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -183,19 +184,41 @@ def meet(hashes: np.ndarray, fps: np.ndarray, most_bits: int = 2 * RADIUS) -> tu
     hashes, fps = hashes[order], fps[order]
     first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
     sizes = np.diff(np.append(first, len(fps)))
-    center = np.repeat(fps[first], sizes)
-    near = np.bitwise_count(fps ^ center) <= most_bits
-    own = near & (fps != center)
-    a, b = [fps[own]], [center[own]]
+    size_of, center = np.repeat(sizes, sizes), np.repeat(fps[first], sizes)
+    linked = lambda x, y: (np.bitwise_count(x ^ y) <= most_bits) & (x != y)
+    near = linked(fps, center)
+    a, b = [fps[near]], [center[near]]
+    for k in range(1, SMALL_GROUP):
+        pair = (hashes[k:] == hashes[:-k]) & (size_of[k:] <= SMALL_GROUP)
+        pair[pair] = linked(fps[k:][pair], fps[:-k][pair])
+        a.append(fps[k:][pair])
+        b.append(fps[:-k][pair])
     group = np.repeat(np.arange(len(first)), sizes)
-    for i in np.flatnonzero(~near).tolist():  # met by chance, at two variants or more: against all of the group
+    for i in np.flatnonzero(~near & (fps != center) & (size_of > SMALL_GROUP)).tolist():  # met by chance where many meet: against all of them
         others = fps[first[group[i]] : first[group[i]] + sizes[group[i]]]
-        others = others[(np.bitwise_count(others ^ fps[i]) <= most_bits) & (others != fps[i])]
+        others = others[linked(others, fps[i])]
         a.append(np.full(len(others), fps[i]))
         b.append(others)
     return np.concatenate(a), np.concatenate(b)
 
 
+def meet_in_bucket(blobs: list, rest_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a bucket, one range of hashes after another."""
+    parts = [unpack(b) for b in blobs]
+    total = sum(len(h) for h, _, _ in parts)
+    bits = min(max(0, (total // RANGE_VARIANTS).bit_length()), rest_bits)
+    a, b = np.empty(0, np.uint64), np.empty(0, np.uint64)
+    at = [0] * len(parts)
+    for r in range(1 << bits):
+        upto = [len(h) if r + 1 == 1 << bits else int(np.searchsorted(h, h.dtype.type((r + 1) << (rest_bits - bits)))) for h, _, _ in parts]
+        hashes = np.concatenate([h[i:j] for (h, _, _), i, j in zip(parts, at, upto, strict=True)]).astype(np.uint64)
+        fps = np.concatenate([f[p[i:j]] for (_, p, f), i, j in zip(parts, at, upto, strict=True)])
+        at = upto
+        x, y = meet(hashes, fps)
+        a, b = forest(np.concatenate([a, x]), np.concatenate([b, y]))
+    return a, b
+
+
 def links(distinct: DataFrame, count: int) -> DataFrame:
     """a and b for enough pairs of the fingerprints in column fp, a > b, to join all within 2 * RADIUS bits."""
     hash_bits, bucket_bits = layout(count)
@@ -218,8 +241,7 @@ def links(distinct: DataFrame, count: int) -> DataFrame:
     packed = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
 
     def join(table: pa.Table) -> pa.Table:
-        parts = [unpack(x.as_buffer()) for x in table.column("blob")]
-        a, b = forest(*meet(np.concatenate([h for h, _ in parts]), np.concatenate([f for _, f in parts])))
+        a, b = meet_in_bucket([x.as_buffer() for x in table.column("blob")], hash_bits - bucket_bits)
         a, b = a.view(np.int64), b.view(np.int64)
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
@@ -246,11 +268,19 @@ def components(pairs: DataFrame) -> DataFrame:
         before = now
 
 
+def release_shuffles(spark) -> None:
+    """Shuffle files go when the driver's JVM collects what stood for them; ask for that, as the variants' are large."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable) for every document."""
     marked = stage(fingerprints(docs), "fingerprints")
     distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    roots = components(links(distinct, distinct.count()))
+    pairs = stage(links(distinct, distinct.count()), "pairs")
+    release_shuffles(docs.sparkSession)
+    roots = components(pairs)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")

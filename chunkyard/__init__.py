@@ -1,0 +1 @@
+"""chunkyard: source-code and document retrieval analytics on Spark DataFrames."""

@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chunkyard.llm import attention, bpe, chat, ctw, decontaminate, licenses, pii, rules, simhash, tokenfile
+from chunkyard.llm import attention, bpe, chat, ctw, decontaminate, licenses, pii, rules, simhash, sql, tokenfile
 from chunkyard.llm.common import load, remainder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+#: What SQL cannot express (learned models, a tokenizer, a hash DuckDB lacks) has none; tests compare those with brute force.
+SQL: dict[str, str] = {"op2_licenses": sql.LICENSES, "op3_chat": sql.CHAT, "op5_decontamination": sql.DECONTAMINATION}
 
 
 def query(f):
@@ -19,10 +20,6 @@ def query(f):
     return f
 
 
-def hex_of(text) -> F.Column:
-    return F.sha2(text, 256)
-
-
 @query
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,8 +32,8 @@ def wanted(path: Column) -> Column:
 def scan(spark: SparkSession, root: str) -> DataFrame:
     """path (below the root) and text of all wanted files; broken UTF-8 is replaced, blank files are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.regexp_replace(F.lit(root.rstrip("/")), "^[a-z]+:/*(?=/)", "")
-    below = F.substring_index(F.regexp_replace("path", "^[a-z0-9]+:/*(?=/)", ""), F.concat(base, F.lit("/")), -1)
+    base = re.sub("^[a-z0-9]+:/*(?=/)", "", root.rstrip("/"))
+    below = F.substr(F.regexp_replace("path", "^[a-z0-9]+:/*(?=/)", ""), F.lit(len(base) + 2))
     named = files.select(below.alias("path"), "content").where(wanted(F.col("path")))
     return named.select("path", F.call_function("try_validate_utf8", F.col("content").cast("string")).alias("text"), "content").select("path", F.coalesce("text", _lossy("content")).alias("text")).where(X.strip(F.col("text")) != "")
 

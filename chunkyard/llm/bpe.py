@@ -30,6 +30,8 @@ REMEMBERED_WORDS = 200_000
 #: Longer ones are encoded anew each time.
 REMEMBERED_CHARS = 200
 NO_RANK = 1 << 62
+#: Below this all letters have been in Unicode for long.
+_KNOWN_BELOW = "\u0530"
 #: Nodes below a node of the tree.
 FAN = 16
 _SEPARATORS = "\x1c\x1d\x1e\x1f"
@@ -103,6 +105,7 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             file = json.load(f)
         model = file["model"]
+        self.path, self.folding = path, None
         self.suffix = model["end_of_word_suffix"] or ""
         self.vocabulary: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
@@ -122,9 +125,10 @@ class WordBpe:
     def chunk(self, chunk: str) -> bytes:
         """The packed ids of text without white space."""
         words = self.cut.findall(chunk)
-        if len(words) != 1:
-            return b"".join([self.recall(w) for w in words])
-        raw = words[0].encode("utf-8")
+        return self.word(words[0]) if len(words) == 1 else b"".join([self.recall(w) for w in words])
+
+    def word(self, word: str) -> bytes:
+        raw = word.encode("utf-8")
         ids = merge_by_tree([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]], self.rank_of, self.made)
         return struct.pack(f"<{len(ids)}I", *ids)
 
@@ -147,7 +151,18 @@ class WordBpe:
             return [c for c in self.space.split(text.lower()) if c]
         return text.lower().split()
 
+    def _by_library(self, text: str) -> bytes:
+        """With characters that this Python does not know: case and words are the library's, as its Unicode is newer."""
+        from tokenizers import Regex, Tokenizer, pre_tokenizers
+
+        if self.folding is None:
+            self.folding = Tokenizer.from_file(self.path).normalizer, pre_tokenizers.Split(Regex(self.cut.pattern), "removed", invert=True)
+        normal, cut = self.folding
+        return b"".join([self.word(w) for w, _ in cut.pre_tokenize_str(normal.normalize_str(text))])
+
     def encode_plain(self, text: str) -> bytes:
+        if text and max(text) > _KNOWN_BELOW and any(unicodedata.category(c) == "Cn" for c in set(text)):
+            return self._by_library(text)
         young, recall = self.young.get, self.recall
         return b"".join([young(c) or recall(c) for c in self.chunks(text)])
 

@@ -25,6 +25,7 @@ bit's probability is a half; repeated rows count and are scored each; other colu
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,8 @@ EDGE = 0xFF
 PIECE_BYTES = 2 << 20
 #: Distinct runs a task holds before it sends their counts on.
 HELD_RUNS = 1_500_000
-#: Parts that counts are shuffled in.
-PARTS = 64
+#: Parts that counts are shuffled in, at least.
+LEAST_PARTS = 64
 #: Distinct words, and tokens, of a block of documents.
 BLOCK_WORDS = 250_000
 BLOCK_TOKENS = 8_000_000
@@ -205,23 +206,40 @@ def _sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 _COUNTS = "part int, n long, blob binary"
 
 
-def _by_part(keys: np.ndarray, counts: np.ndarray):
-    part = ((keys * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(58)).astype(np.int64)
-    for k in range(PARTS):
-        own = part == k
-        if own.any():
-            yield pa.RecordBatch.from_pydict({"part": [k], "n": [int(own.sum())], "blob": [_packed(keys[own], counts[own])]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())]))
+def _parts(df: DataFrame) -> int:
+    """How many parts the runs are dealt into: a power of two that grows with the session's shuffle partitions."""
+    return max(LEAST_PARTS, 1 << (int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
-def _merge(table: pa.Table) -> pa.Table:
-    parts = [_unpacked(b.as_buffer()) for b in table.column("blob")]
-    keys, counts = _sum(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
-    return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "n": pa.array([len(keys)], pa.int64()), "blob": pa.array([_packed(keys, counts)], pa.binary())})
+def _row(part: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"part": [part], "n": [len(keys)], "blob": [_packed(keys, counts)]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())]))
+
+
+def _by_part(keys: np.ndarray, counts: np.ndarray, parts: int):
+    part = ((keys * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - (parts - 1).bit_length())).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    for k in range(parts):
+        if edges[k] < edges[k + 1]:
+            own = order[edges[k] : edges[k + 1]]
+            yield _row(k, keys[own], counts[own])
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One row of a part's counts; at most its distinct runs and one batch are held."""
+    part, keys, counts = 0, np.empty(0, np.uint64), np.empty(0, np.uint64)
+    for batch in batches:
+        part = batch.column(0)[0].as_py()
+        held = [_unpacked(b.as_buffer()) for b in batch.column(2)]
+        keys, counts = _sum(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(c for _, c in held)]))
+    yield _row(part, keys, counts)
 
 
 def count_runs(texts: DataFrame, depth: int) -> DataFrame:
     """Counts of the runs of depth + 1 bytes in column text, a row for each part of the runs."""
 
+    parts = _parts(texts)
+
     def count(batches):
         keys, counts = np.empty(0, np.uint64), np.empty(0, np.uint64)
         for batch in batches:
@@ -229,22 +247,22 @@ def count_runs(texts: DataFrame, depth: int) -> DataFrame:
                 own, n = np.unique(runs_of(group, depth)[0], return_counts=True)
                 keys, counts = _sum(np.concatenate([keys, own]), np.concatenate([counts, n.astype(np.uint64)]))
                 if len(keys) > HELD_RUNS:
-                    yield from _by_part(keys, counts)
+                    yield from _by_part(keys, counts, parts)
                     keys, counts = keys[:0], counts[:0]
-        yield from _by_part(keys, counts)
+        yield from _by_part(keys, counts, parts)
 
     return texts.select("text").mapInArrow(count, _COUNTS).groupBy("part").applyInArrow(_merge, _COUNTS)
 
 
 def shorten(counted: DataFrame, depth: int) -> DataFrame:
     """The counts of the runs' last depth + 1 bytes."""
-    kept = np.uint64((1 << 8 * (depth + 1)) - 1)
+    kept, parts = np.uint64((1 << 8 * (depth + 1)) - 1), _parts(counted)
 
     def drop(batches):
         for batch in batches:
             for blob in batch.column(batch.schema.get_field_index("blob")):
                 keys, counts = _unpacked(blob.as_buffer())
-                yield from _by_part(*_sum(keys & kept, counts))
+                yield from _by_part(*_sum(keys & kept, counts), parts)
 
     return counted.mapInArrow(drop, _COUNTS).groupBy("part").applyInArrow(_merge, _COUNTS)
 

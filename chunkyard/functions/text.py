@@ -21,6 +21,8 @@ CHARS_PER_TOKEN = 4
 LINE_BREAK = r"\r\n|[\n\r\x0B\f\x1C-\x1E\x85  ]"
 #: What Python's strip() takes off.
 _BLANK = r"[\s\x1C-\x1F\x85\xA0  -     　]"
+# Fixed value: what the embedding model is told before a query.
+INSTRUCTION = "Represent this code search query for retrieving relevant code: "
 # Fixed value: the URL name space of UUIDs.
 URL_NAMESPACE = "6ba7b8119dad11d180b400c04fd430c8"
 
@@ -124,7 +126,7 @@ def enriched_text(description: Column, text: Column) -> Column:
 
 def instructed(query: Column) -> Column:
     """Only what is embedded gets the instruction."""
-    return F.concat(F.lit("Represent this code search query for retrieving relevant code: "), query)
+    return F.concat(F.lit(INSTRUCTION), query)
 
 
 def score_from_text(text: Column) -> Column:

@@ -130,13 +130,15 @@ def find_contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, au
     return found.select("doc_id", "n_words", F.expr(start_new).alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "spans")
 
 
-def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_items: int = 2) -> DataFrame:
-    """The documents, with all their columns, in which fewer than ``least_items`` items occur."""
+def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_items: int = 2, automaton_bytes: int = AUTOMATON_TEXT_BYTES) -> DataFrame:
+    """The documents, with all their columns, in which fewer than ``least_items`` items occur.
+
+    With more than ``automaton_bytes`` of items, rows of one doc_id are judged together."""
     rows = items.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit(""))).where("item_id is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > AUTOMATON_TEXT_BYTES:
-        bad = find_contamination(docs, items, width).where(F.col("n_items") >= least_items).select("doc_id")
-        return docs.join(bad, "doc_id", "left_anti")
+    if size > automaton_bytes:
+        bad = find_contamination(docs, items, width, automaton_bytes).where(F.col("n_items") >= least_items).select(F.col("doc_id").alias("bad_id"))
+        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
     shipped = docs.sparkSession.sparkContext.broadcast(windows_of([tuple(r) for r in rows.toLocalIterator()], width))
     at = docs.columns.index("text")
 

@@ -99,6 +99,8 @@ def test_contamination_by_hand(spark):
     assert (span.start, span.end, span.item_id) == (3, 14, "2")
     kept = decontaminate.drop_contaminated(docs(spark, more), items(spark, ITEMS))
     assert kept.columns == docs(spark).columns and 20 not in {r.doc_id for r in kept.collect()} and kept.count() == len([x for x in expected if x[3] < 2])
+    sharded = decontaminate.drop_contaminated(docs(spark, more), items(spark, ITEMS), automaton_bytes=20)
+    assert sharded.columns == kept.columns and by_key(sharded) == by_key(kept)
     assert decontaminate.find_contamination(docs(spark), items(spark, ITEMS).limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 

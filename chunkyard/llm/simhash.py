@@ -23,6 +23,7 @@ by ``drop_near_duplicates``).
 from __future__ import annotations
 
 import gc
+import time
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -41,6 +42,8 @@ BITS = 64
 RADIUS = 2
 #: Fingerprints whose variants are made and sorted at once; a place in a block takes one byte.
 BLOCK = 256
+#: Fingerprints whose variants a task makes, about.
+TASK_FINGERPRINTS = 32_768
 #: Variants that one bucket gets on average, at most; it holds seven bytes for each.
 BUCKET_VARIANTS = 1 << 24
 #: Variants of a bucket that are sorted together, about.
@@ -245,7 +248,8 @@ def links(distinct: DataFrame, count: int) -> DataFrame:
         a, b = a.view(np.int64), b.view(np.int64)
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
-    dealt = distinct.select("fp").mapInArrow(emit, "bucket int, blob binary")
+    tasks = max(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), count // TASK_FINGERPRINTS)
+    dealt = distinct.select("fp").repartition(tasks, "fp").mapInArrow(emit, "bucket int, blob binary")
     return dealt.groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
@@ -269,8 +273,10 @@ def components(pairs: DataFrame) -> DataFrame:
 
 
 def release_shuffles(spark) -> None:
-    """Shuffle files go when the driver's JVM collects what stood for them; ask for that, as the variants' are large."""
+    """Shuffle files go when the driver's JVM collects what stood for them; ask for that, as the variants' are large.
+    The pause lets Spark's listeners drop the finished query first."""
     gc.collect()
+    time.sleep(1)
     spark.sparkContext._jvm.System.gc()
 
 
@@ -281,6 +287,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     pairs = stage(links(distinct, distinct.count()), "pairs")
     release_shuffles(docs.sparkSession)
     roots = components(pairs)
+    release_shuffles(docs.sparkSession)
     rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
@@ -288,5 +295,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """The documents, with all their columns, of which each has its component's least id."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["kept_id"]), "left_semi").dropDuplicates(["doc_id"])
+    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
+    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_key")).distinct()
+    # One column for the join and for the rows of one id, so that the texts are shuffled once.
+    return docs.withColumn("_key", key("doc_id")).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

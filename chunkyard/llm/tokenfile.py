@@ -23,6 +23,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import xxhash
@@ -36,10 +37,10 @@ from chunkyard.llm.common import map_slices, scratch_path, stage, text_rows
 
 END_ID = 2
 #: Entries in each of the two generations of a worker's memory of encoded chunks.
-REMEMBERED_CHUNKS = 400_000
+REMEMBERED_CHUNKS = 350_000
 REMEMBERED_CHARS = 200
 #: Documents whose chunks are looked up together.
-SLICE_DOCS = 2048
+SLICE_DOCS = 8192
 
 # Fixed values of the zstandard formats.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -133,36 +134,43 @@ class ChunkedTokenizer:
         first, *rest = self._safe.split(text)
         return b"".join(self._raw([first, *(" " + c for c in rest)]))
 
+    @staticmethod
+    def _chunks(text: str) -> list[str]:
+        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text."""
-        out: list[bytes | None] = [None] * len(texts)
-        cut: list[tuple[int, list[str]]] = []
+        """Packed ids of each text.  Texts are cut twice, first to learn what is new: that is cheaper than holding all pieces."""
         young, needed = self.young, set()
+        special = {i for i, text in enumerate(texts) if any(s in text for s in self.special)}
         for i, text in enumerate(texts):
-            if any(s in text for s in self.special):
-                out[i] = self._raw([text])[0]
-                continue
-            chunks = ("\n" + text).replace("\n", " \n").split(" ")[1:]
-            needed.update(set(chunks).difference(young))
-            cut.append((i, chunks))
+            if i not in special:
+                needed.update(set(self._chunks(text)).difference(young))
         spoilt = {c for c in needed if c.split() != [c.removeprefix("\n")]}
-        if spoilt:
-            needed -= spoilt
-            for i, chunks in cut:
-                if not spoilt.isdisjoint(chunks):
-                    out[i] = self._slow(texts[i])
-            cut = [x for x in cut if out[x[0]] is None]
-        young.update(self._learn(needed))
-        for i, chunks in cut:
-            out[i] = b"".join(map(young.__getitem__, chunks))[len(self.line_end) :]
+        young.update(self._learn(needed - spoilt))
+        out, skip = [], len(self.line_end)
+        for i, text in enumerate(texts):
+            if i in special:
+                out.append(self._raw([text])[0])
+                continue
+            chunks = self._chunks(text)
+            if spoilt and not spoilt.isdisjoint(chunks):
+                out.append(self._slow(text))
+            else:
+                out.append(b"".join(map(young.__getitem__, chunks))[skip:])
         for c in needed:
             if len(c) > REMEMBERED_CHARS:
-                del young[c]
+                young.pop(c, None)
         if len(young) > self.limit:
             self.old, self.young = young, {}
         return out
 
 
+@lru_cache(maxsize=1)
+def shared_tokenizer(path: str) -> ChunkedTokenizer:
+    """One for all tasks of a Python worker, with what it remembers."""
+    return ChunkedTokenizer(path)
+
+
 def file_system(path: str):
     from pyarrow import fs
 
@@ -237,7 +245,7 @@ def write_token_files(docs: DataFrame, out_dir: str | None = None, vocabulary: s
     def write(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        tokenizer, (system, base) = ChunkedTokenizer(path), file_system(out_dir)
+        tokenizer, (system, base) = shared_tokenizer(path), file_system(out_dir)
         system.create_dir(base, recursive=True)
         number = TaskContext.get().partitionId()
         own, final = f"{base}/.writing-{number}-{uuid.uuid4().hex}", f"{base}/tokens-{number:06d}.zst"

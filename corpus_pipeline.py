@@ -6,7 +6,11 @@
 4. personal data: spans are replaced by their kind in brackets, n_chars follows;
 5. byte-pair encoding: ids and decoded text of what is left.
 
-All but the last return the columns of documents.  The classifier learns from the labelled documents
+Null and empty texts go through every stage: they are scored, are near-duplicates of each other, have no
+hits, no spans and no ids.  Rows of one doc_id count as one document from stage 2 on, and so do rows
+without one; empty tables stay empty; without labels of both kinds nothing is rejected in stage 1.
+
+All but the last return the columns of documents, further columns included.  The classifier learns from the labelled documents
 of its own input that are not held out.
 """
 

@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import struct
 import unicodedata
+from functools import lru_cache
 
 import regex
 from pyspark.sql import DataFrame
@@ -26,7 +27,7 @@ from chunkyard.llm.common import map_slices, text_rows
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_le", T.BinaryType()), T.StructField("decoded", T.StringType())])
 #: Words in each of the two generations of a worker's memory.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 250_000
 #: Longer ones are encoded anew each time.
 REMEMBERED_CHARS = 200
 NO_RANK = 1 << 62
@@ -181,12 +182,18 @@ class WordBpe:
         return " ".join(map(self.token.__getitem__, memoryview(ids).cast("I")))
 
 
+@lru_cache(maxsize=1)
+def shared_bpe(path: str) -> WordBpe:
+    """One for all tasks of a Python worker, with what it remembers."""
+    return WordBpe(path)
+
+
 def encode_documents(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
     """doc_id, n_tokens, ids_le (packed ids) and decoded (the text those ids decode to) for every document."""
     path = vocabulary or default_vocabulary()
 
     def start():
-        bpe = WordBpe(path)
+        bpe = shared_bpe(path)
 
         def step(columns: dict) -> dict:
             ids = [bpe.encode(t) for t in columns["text"]]

@@ -30,7 +30,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,6 +54,7 @@ SMALL_GROUP = 4
 SPARE_BITS = 6
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _FINGERPRINT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+_KEYED = T.StructType([*_FINGERPRINT.fields, T.StructField("_key", T.BinaryType())])
 
 
 def shingle_digests(text: str) -> bytes:
@@ -88,13 +89,13 @@ def fingerprints_of(texts: list[str]) -> np.ndarray:
     return out
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed integer."""
+def fingerprints(docs: DataFrame, *more: str, schema: T.StructType = _FINGERPRINT) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed integer) and ``more``."""
 
     def start():
-        return lambda columns: {"doc_id": columns["doc_id"], "fp": fingerprints_of(columns["text"]).view(np.int64).tolist()}
+        return lambda columns: {"fp": fingerprints_of(columns.pop("text")).view(np.int64).tolist()} | columns
 
-    return map_slices(text_rows(docs), _FINGERPRINT, start)
+    return map_slices(text_rows(docs, *more), schema, start)
 
 
 def ball_masks(radius: int = RADIUS) -> np.ndarray:
@@ -280,22 +281,33 @@ def release_shuffles(spark) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def rooted(marked: DataFrame, first: Column) -> DataFrame:
+    """fp, first (the least of its rows') and root, its component's least fingerprint, for every fingerprint."""
+    spark = marked.sparkSession
+    distinct = stage(marked.groupBy("fp").agg(F.min(first).alias("first")), "distinct-fingerprints")
+    pairs = stage(links(distinct, distinct.count()), "pairs")
+    release_shuffles(spark)
+    roots = components(pairs)
+    release_shuffles(spark)
+    return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fp and component_id (the least doc_id reachable) for every document."""
     marked = stage(fingerprints(docs), "fingerprints")
-    distinct = stage(marked.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    pairs = stage(links(distinct, distinct.count()), "pairs")
-    release_shuffles(docs.sparkSession)
-    roots = components(pairs)
-    release_shuffles(docs.sparkSession)
-    rooted = distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    least = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return marked.join(rooted.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    found = rooted(marked, F.col("doc_id"))
+    least = found.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.join(found.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The documents, with all their columns, of which each has its component's least id."""
-    key = lambda c: F.coalesce(c, F.lit(-(1 << 63)))
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(key("doc_id").alias("_key")).distinct()
-    # One column for the join and for the rows of one id, so that the texts are shuffled once.
-    return docs.withColumn("_key", key("doc_id")).join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    """The documents, with all their columns, of which one row of each component is left: that of the least id,
+    null last, and then of the least fingerprint."""
+    # Rows with the same id and text are the same document.  One column for the join and for such rows, so that
+    # the texts are shuffled once.
+    key = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))).cast("binary"), 256))
+    keyed = docs.withColumn("_key", key)
+    marked = stage(fingerprints(keyed, "_key", schema=_KEYED), "fingerprints")
+    found = rooted(marked, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key"))
+    kept = found.groupBy("root").agg(F.min(F.struct("first.last", "first.doc_id", "fp", "first._key")).alias("kept")).select("kept._key")
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")

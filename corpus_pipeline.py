@@ -1,14 +1,14 @@
 """The corpus pipeline: five stages, each over all that its predecessor kept, written and read again.
 
 1. quality classifier: documents scoring under 0.3 go;
-2. SimHash near-duplicates: the document of least id stays of each component;
+2. SimHash near-duplicates: one document stays of each component, that of least id (null last);
 3. benchmark decontamination: documents in which any benchmark item's window occurs go;
 4. personal data: spans are replaced by their kind in brackets, n_chars follows;
 5. byte-pair encoding: ids and decoded text of what is left.
 
 Null and empty texts go through every stage: they are scored, are near-duplicates of each other, have no
-hits, no spans and no ids.  Rows of one doc_id count as one document from stage 2 on, and so do rows
-without one; empty tables stay empty; without labels of both kinds nothing is rejected in stage 1.
+hits, no spans and no ids.  Rows are judged by their texts, whether their doc_id is null, repeated or their
+own; empty tables stay empty; without labels of both kinds nothing is rejected in stage 1.
 
 All but the last return the columns of documents, further columns included.  The classifier learns from the labelled documents
 of its own input that are not held out.

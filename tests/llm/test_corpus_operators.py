@@ -131,6 +131,16 @@ def test_near_duplicates_by_hand(spark):
     assert simhash.near_duplicates(docs(spark).limit(0)).count() == 0
 
 
+def test_different_texts_under_one_or_no_id_are_all_kept(spark):
+    words = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon".split()
+    a, b, c, d = (" ".join(words[(i * k + 3 * k) % 20] for i in range(300)) for k in (1, 3, 7, 9))
+    rows = [(None, a), (None, b), (None, b), (None, b.upper()), (7, c), (7, d), (7, d), (3, c), (None, d)]
+    fps = [fingerprint_by_hand(t) for t in (a, b, c, d)]
+    assert len(set(components_by_hand(fps).values())) == 4
+    kept = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs(spark, rows)).collect()]
+    assert {(i, t.lower()) for i, t in kept} == {(None, a), (None, b), (3, c), (7, d)} and len(kept) == 4
+
+
 def test_buckets_link_all_even_when_hashes_collide():
     rng = np.random.default_rng(3)
     made = set()

@@ -16,7 +16,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +33,12 @@ SPANS = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.Struct
 RUNS = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("last", T.LongType())]))
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_words", T.LongType()), T.StructField("runs", RUNS), T.StructField("item_ids", T.ArrayType(T.StringType())), T.StructField("spans", SPANS)])
 
+MARKS = T.ArrayType(T.StructType([T.StructField("item_id", T.StringType()), *(T.StructField(k, T.LongType()) for k in ("first", "last", "start", "end"))]))
+_KEY = T.StructField("key", T.BinaryType())
+_SHARD = T.StructType([_KEY, T.StructField("shard", T.LongType()), T.StructField("marks", MARKS)])
+_MET = T.StructType([_KEY, *SCHEMA.fields[2:]])
+_COUNTED = T.StructType([*SCHEMA.fields[:1], _KEY, *SCHEMA.fields[1:2]])
+
 
 def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "replace").translate(_FORM).split()
@@ -68,15 +74,15 @@ def merged(marks: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def scan_text(text: str, automaton) -> tuple[int, list, list, list]:
-    """Words; word runs hit, as [first, last); ids of the items found; spans of the original text."""
+def marks_of(text: str, automaton) -> tuple[int, list[tuple]]:
+    """Words; (item, [first, last) in words, its offsets in the original text) of what is hit, sorted, none of an item touching."""
     words = words_of(text)
     if not words or automaton is None:
-        return len(words), [], [], []
+        return len(words), []
     line = b" " + b" ".join(words) + b" "
     matches = list(automaton.iter(line.decode("latin-1")))
     if not matches:
-        return len(words), [], [], []
+        return len(words), []
     spaces = np.flatnonzero(np.frombuffer(line, dtype=np.uint8) == 32)
     ends = np.searchsorted(spaces, [end for end, _ in matches])
     at = [m.span() for m in _WORD.finditer(text)]
@@ -84,9 +90,25 @@ def scan_text(text: str, automaton) -> tuple[int, list, list, list]:
     for last, (_, (length, ids)) in zip(ends.tolist(), matches, strict=True):
         for item_id in ids:
             marks[item_id].append((last - length, last))
-    spans = [{"start": at[a][0], "end": at[b - 1][1], "item_id": i} for i in sorted(marks) for a, b in merged(marks[i])]
-    runs = merged([m for found in marks.values() for m in found])
-    return len(words), [{"first": a, "last": b} for a, b in runs], sorted(marks), spans
+    return len(words), [(i, (a, b), (at[a][0], at[b - 1][1])) for i in sorted(marks) for a, b in merged(marks[i])]
+
+
+def results_of(marks: list[tuple]) -> tuple[list, list, list]:
+    """Word runs hit, as [first, last); ids of the items found; spans of the original text."""
+    by_item: dict[str, list[tuple[int, int]]] = defaultdict(list)
+    starts, ends = {}, {}
+    for item_id, (a, b), (start, end) in marks:
+        by_item[item_id].append((a, b))
+        starts[a], ends[b] = start, end
+    spans = [{"start": starts[a], "end": ends[b], "item_id": i} for i in sorted(by_item) for a, b in merged(by_item[i])]
+    runs = merged([m for found in by_item.values() for m in found])
+    return [{"first": a, "last": b} for a, b in runs], sorted(by_item), spans
+
+
+def scan_text(text: str, automaton) -> tuple[int, list, list, list]:
+    """Words; word runs hit, as [first, last); ids of the items found; spans of the original text."""
+    n, marks = marks_of(text, automaton)
+    return n, *results_of(marks)
 
 
 def _scan(docs: DataFrame, items: list[tuple[str, str]], width: int) -> DataFrame:
@@ -104,6 +126,56 @@ def _scan(docs: DataFrame, items: list[tuple[str, str]], width: int) -> DataFram
     return map_slices(text_rows(docs), SCHEMA, start)
 
 
+def _text_key() -> Column:
+    """Which text a row has: hits depend on nothing else, so the shards' results meet by it and never by doc_id."""
+    return F.unhex(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256))
+
+
+def _scan_shard(docs: DataFrame, items: list[tuple[str, str]], width: int, shard: int) -> DataFrame:
+    """key, shard and marks of the texts that have a hit."""
+    shipped = docs.sparkSession.sparkContext.broadcast(windows_of(items, width))
+
+    def start():
+        automaton = automaton_of(shipped.value) if shipped.value else None
+
+        def step(columns: dict) -> dict | None:
+            found = [(k, m) for k, t in zip(columns["key"], columns["text"], strict=True) if (m := marks_of(t, automaton)[1])]
+            if not found:
+                return None
+            marks = [[{"item_id": i, "first": a, "last": b, "start": x, "end": y} for i, (a, b), (x, y) in m] for _, m in found]
+            return {"key": [k for k, _ in found], "shard": [shard] * len(found), "marks": marks}
+
+        return step
+
+    return map_slices(docs.select(_text_key().alias("key"), F.coalesce("text", F.lit("")).alias("text")), _SHARD, start)
+
+
+def _scan_shards(docs: DataFrame, dealt: DataFrame, count: int, width: int) -> DataFrame:
+    """key, runs, item_ids and spans of every different text that has a hit, as one automaton of all shards gives them."""
+    parts = [_scan_shard(docs, [(r[0], r[1]) for r in dealt.where(F.col("shard") == k).select("item_id", "text").toLocalIterator()], width, k) for k in range(count)]
+    keyed = parts[0]
+    for part in parts[1:]:
+        keyed = keyed.unionByName(part)
+    # Copies of a text go before its shards meet, so at most ``count`` rows meet.
+    met = keyed.dropDuplicates(["key", "shard"]).groupBy("key").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+
+    def start():
+        def step(columns: dict) -> dict:
+            found = [results_of([(m["item_id"], (m["first"], m["last"]), (m["start"], m["end"])) for m in marks]) for marks in columns["marks"]]
+            return {"key": columns["key"], **dict(zip(("runs", "item_ids", "spans"), map(list, zip(*found, strict=True)), strict=True))}
+
+        return step
+
+    return map_slices(met, _MET, start)
+
+
+def _count_words(docs: DataFrame) -> DataFrame:
+    def start():
+        return lambda columns: {"doc_id": columns["doc_id"], "key": columns["key"], "n_words": [len(words_of(t)) for t in columns["text"]]}
+
+    return map_slices(text_rows(docs, _text_key().alias("key")), _COUNTED, start)
+
+
 def shards_of(items: DataFrame, limit: int) -> tuple[DataFrame, int]:
     """The items with the number of their shard; as many shards as keep each one's text within ``limit`` bytes on average."""
     kept = items.select(F.col("item_id").cast("string").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).where("item_id is not null")
@@ -115,31 +187,25 @@ def shards_of(items: DataFrame, limit: int) -> tuple[DataFrame, int]:
 def find_contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH, automaton_bytes: int = AUTOMATON_TEXT_BYTES) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, item_ids, spans (offsets in code points, end exclusive) for every document.
 
-    Only one shard of the items, of a bounded size, is at the driver and in a task at once.
+    Only one shard of the items, of a bounded size, is at the driver and in a task at once.  The number of shards changes no result.
     """
     dealt, count = shards_of(items, automaton_bytes)
-    parts = [_scan(docs, [(r[0], r[1]) for r in dealt.where(F.col("shard") == k).select("item_id", "text").toLocalIterator()], width) for k in range(count)]
     if count == 1:
-        found = parts[0]
-    else:  # one row of each shard for a document's key; repeated rows have the same words, so they merge without loss
-        keyed = parts[0]
-        for part in parts[1:]:
-            keyed = keyed.unionByName(part)
-        found = keyed.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.flatten(F.collect_list("spans")).alias("spans"))
+        found = _scan(docs, [(r[0], r[1]) for r in dealt.select("item_id", "text").toLocalIterator()], width)
+    else:
+        none = [F.coalesce(c, F.array().cast(SCHEMA[c].dataType)).alias(c) for c in ("runs", "item_ids", "spans")]
+        found = _count_words(docs).join(_scan_shards(docs, dealt, count, width), "key", "left").select("doc_id", "n_words", *none)
     start_new = "aggregate(array_sort(runs), struct(cast(0 as bigint) as n, cast(0 as bigint) as upto), (a, r) -> struct(a.n + greatest(0, r.last - greatest(r.first, a.upto)) as n, greatest(a.upto, r.last) as upto), a -> a.n)"
     return found.select("doc_id", "n_words", F.expr(start_new).alias("n_hit"), F.size("item_ids").cast("long").alias("n_items"), "item_ids", "spans")
 
 
 def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, least_items: int = 2, automaton_bytes: int = AUTOMATON_TEXT_BYTES) -> DataFrame:
-    """The documents, with all their columns, in which fewer than ``least_items`` items occur.
-
-    With more than ``automaton_bytes`` of items, rows of one doc_id are judged together."""
-    rows = items.select(F.col("item_id").cast("string"), F.coalesce("text", F.lit(""))).where("item_id is not null")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if size > automaton_bytes:
-        bad = find_contamination(docs, items, width, automaton_bytes).where(F.col("n_items") >= least_items).select(F.col("doc_id").alias("bad_id"))
-        return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
-    shipped = docs.sparkSession.sparkContext.broadcast(windows_of([tuple(r) for r in rows.toLocalIterator()], width))
+    """The documents, with all their columns, in which fewer than ``least_items`` items occur; each row is judged by its text."""
+    dealt, count = shards_of(items, automaton_bytes)
+    if count > 1:
+        bad = _scan_shards(docs, dealt, count, width).where(F.size("item_ids") >= least_items).select(F.col("key").alias("_key"))
+        return docs.withColumn("_key", _text_key()).join(bad, "_key", "left_anti").drop("_key")
+    shipped = docs.sparkSession.sparkContext.broadcast(windows_of([(r[0], r[1]) for r in dealt.select("item_id", "text").toLocalIterator()], width))
     at = docs.columns.index("text")
 
     def keep(batches):

@@ -104,6 +104,18 @@ def test_contamination_by_hand(spark):
     assert decontaminate.find_contamination(docs(spark), items(spark, ITEMS).limit(0)).agg(F.sum("n_hit")).first()[0] == 0
 
 
+def test_many_items_change_no_row(spark):
+    hit = "x A short one. The CAT sat On the mat and the cat SAT on the rug y"
+    more = [*TEXTS, (None, hit), (None, "clean"), (20, hit), (20, "a short one"), (20, "clean too"), (20, hit)]
+    # One item's id has texts in several shards, whose windows overlap in the document.
+    rows = [*ITEMS, (10, "the cat sat on the mat and the cat sat"), (10, "y")]
+    every = lambda n: by_key(decontaminate.find_contamination(docs(spark, more), items(spark, rows), automaton_bytes=n))
+    assert every(20) == every(50) == every(1 << 20) and len(every(20)) == len(more)
+    kept = lambda n: by_key(decontaminate.drop_contaminated(docs(spark, more), items(spark, rows), automaton_bytes=n))
+    assert kept(20) == kept(1 << 20)
+    assert (None, "clean") in [r[:2] for r in kept(20)] and (20, "clean too") in [r[:2] for r in kept(20)] and (None, hit) not in [r[:2] for r in kept(20)]
+
+
 def test_licenses(spark):
     mit = "Copyright (c) 2020 Someone\n\n" + licenses.KNOWN_TEXTS["MIT"].upper().replace(",", " ;")
     isc = licenses.KNOWN_TEXTS["ISC"].replace("software", "  software\n")

@@ -9,9 +9,11 @@ A run's probability does not depend on where it stands, so scoring looks runs up
 the probabilities of those not met before.  Texts start after, and end with, the byte 0xFF, which
 UTF-8 never has, so all texts' probabilities sum to one.
 
-The tree is sent to the executors, so its size is bounded: the depth is the largest one, up to
-``MOST_DEPTH``, for which at most ``MOST_RUNS`` distinct runs occur.  Depth 1 has 65,536 at most,
-so the bound always holds: 8 nodes a run and order at the most, 16 bytes each.
+The depth is ``DEPTH`` for every input.  The tree is never in one place: the last ``TOP`` bytes of a context
+name its shard, in which all orders from ``TOP`` on are grown; what shards have below that is summed at
+the driver, at most 65,280 nodes.  Texts are gathered in blocks; each block's distinct runs go to their
+shards once, and their probabilities come back.  ``fit`` makes a small corpus's tree in one piece, and
+lowers the depth to bound it; ``score_documents`` does not use it.
 
 The base needs every word's count over the corpus, an unbounded table.  Tasks turn their documents
 into blocks (distinct words, and each document's word numbers and frequencies); only the words are
@@ -35,7 +37,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkyard.llm.common import remainder, stage, text_rows
+from chunkyard.llm.simhash import release_shuffles
 
+#: Bytes of context of every input's tree, and how many of them name a shard.
+DEPTH = 5
+TOP = 2
+#: Bounds of a tree in one piece.
 MOST_DEPTH = 4
 MOST_RUNS = 3_000_000
 EDGE = 0xFF
@@ -48,6 +55,8 @@ LEAST_PARTS = 64
 #: Distinct words, and tokens, of a block of documents.
 BLOCK_WORDS = 250_000
 BLOCK_TOKENS = 8_000_000
+#: Bytes of text of a block; blocks' texts are scored together from so many bytes on.
+BLOCK_BYTES = 8 << 20
 #: Slots of a worker's memory of runs' probabilities.
 CACHE_BITS = 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -79,6 +88,40 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return series - np.log(steps)
 
 
+def _settled(zeros: np.ndarray, ones: np.ndarray, product: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Nodes' log of the weighted probability, P(1), and the weight of that; ``product`` is the children's."""
+    kt = log_gamma(ones + 0.5) + log_gamma(zeros + 0.5) - np.log(np.pi) - log_gamma(zeros + ones + 1.0)
+    weight, weighted = (np.ones(len(kt)), kt) if product is None else (np.exp(-np.logaddexp(0, product - kt)), np.logaddexp(kt, product) - np.log(2))
+    return weighted, ((ones + 0.5) / (zeros + ones + 1.0)).astype(np.float32), weight.astype(np.float32)
+
+
+def _up(keys: np.ndarray, order: int, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """The keys at ``order`` that nodes one order deeper belong to, and the sums of their values."""
+    own, where = np.unique(((keys >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)) << np.uint64(8) | (keys & np.uint64(255)), return_inverse=True)
+    return own, *(np.bincount(where, weights=v, minlength=len(own)) for v in values)
+
+
+def grown(runs: np.ndarray, counts: np.ndarray, depth: int, least: int = 0) -> tuple[list, tuple]:
+    """The orders from ``least`` to ``depth`` (none for those below), and keys, zeros, ones and product for the next below."""
+    orders: list = [None] * (depth + 1)
+    symbol, context = runs & np.uint64(255), runs >> np.uint64(8)
+    parts = []
+    for k in range(8):
+        key = (context << np.uint64(8)) | (np.uint64(1 << k) | (symbol >> np.uint64(8 - k)))
+        bit = (symbol >> np.uint64(7 - k)) & np.uint64(1)
+        found, at = np.unique(key, return_inverse=True)
+        parts.append((found, np.bincount(at, weights=counts * (1 - bit.astype(float)), minlength=len(found)), np.bincount(at, weights=counts * bit, minlength=len(found))))
+    keys, zeros, ones = (np.concatenate(x) for x in zip(*parts, strict=True))
+    ordered = np.argsort(keys, kind="stable")
+    keys, zeros, ones, product = keys[ordered], zeros[ordered], ones[ordered], None
+    for order in range(depth, least - 1, -1):
+        weighted, one, weight = _settled(zeros, ones, product)
+        orders[order] = (keys, one, weight)
+        if order:
+            keys, zeros, ones, product = _up(keys, order - 1, zeros, ones, weighted)
+    return orders, (keys, zeros, ones, product)
+
+
 class ContextTree:
     """For each order: sorted keys (context, place in the byte's decision tree), P(1) there and the weight of that estimate."""
 
@@ -87,35 +130,7 @@ class ContextTree:
 
     @staticmethod
     def grow(runs: np.ndarray, counts: np.ndarray, depth: int) -> ContextTree:
-        orders: list = [None] * (depth + 1)
-        below: tuple[np.ndarray, np.ndarray] | None = None  # keys and log of the weighted probability, one order deeper
-        for order in range(depth, -1, -1):
-            own, where = np.unique(runs & np.uint64((1 << 8 * (order + 1)) - 1), return_inverse=True)
-            total = np.bincount(where, weights=counts, minlength=len(own))
-            symbol, context = own & np.uint64(255), own >> np.uint64(8)
-            keys, zeros, ones = [], [], []
-            for k in range(8):
-                key = (context << np.uint64(8)) | (np.uint64(1 << k) | (symbol >> np.uint64(8 - k)))
-                bit = (symbol >> np.uint64(7 - k)) & np.uint64(1)
-                found, at = np.unique(key, return_inverse=True)
-                keys.append(found)
-                ones.append(np.bincount(at, weights=total * bit, minlength=len(found)))
-                zeros.append(np.bincount(at, weights=total * (1 - bit.astype(float)), minlength=len(found)))
-            keys, zeros, ones = np.concatenate(keys), np.concatenate(zeros), np.concatenate(ones)
-            ordered = np.argsort(keys, kind="stable")
-            keys, zeros, ones = keys[ordered], zeros[ordered], ones[ordered]
-            kt = log_gamma(ones + 0.5) + log_gamma(zeros + 0.5) - np.log(np.pi) - log_gamma(zeros + ones + 1.0)
-            if below is None:
-                weight, weighted = np.ones(len(keys)), kt
-            else:
-                child, value = below
-                parent = ((child >> np.uint64(8)) & np.uint64((1 << 8 * order) - 1)) << np.uint64(8) | (child & np.uint64(255))
-                product = np.bincount(np.searchsorted(keys, parent), weights=value, minlength=len(keys))
-                weighted = np.logaddexp(kt, product) - np.log(2)
-                weight = np.exp(-np.logaddexp(0, product - kt))
-            orders[order] = (keys, ((ones + 0.5) / (zeros + ones + 1.0)).astype(np.float32), weight.astype(np.float32))
-            below = (keys, weighted)
-        return ContextTree(depth, orders)
+        return ContextTree(depth, grown(runs, counts, depth)[0])
 
     def log10_of(self, runs: np.ndarray) -> np.ndarray:
         """log10 of the probability of each run's last byte after the others.  A path ends where no training text went."""
@@ -215,10 +230,16 @@ def _row(part: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_pydict({"part": [part], "n": [len(keys)], "blob": [_packed(keys, counts)]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())]))
 
 
-def _by_part(keys: np.ndarray, counts: np.ndarray, parts: int):
-    part = ((keys * np.uint64(0xBF58476D1CE4E5B9)) >> np.uint64(64 - (parts - 1).bit_length())).astype(np.int64)
+def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of runs by part, and where each part begins.  Runs with the same last TOP bytes of context have the same part."""
+    near = (keys >> np.uint64(8)) & np.uint64((1 << 8 * TOP) - 1)
+    part = ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (parts - 1).bit_length())).astype(np.int64)
     order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
+
+
+def _by_part(keys: np.ndarray, counts: np.ndarray, parts: int):
+    order, edges = _dealt(keys, parts)
     for k in range(parts):
         if edges[k] < edges[k + 1]:
             own = order[edges[k] : edges[k + 1]]
@@ -280,7 +301,100 @@ def fit(texts: DataFrame, most_depth: int = MOST_DEPTH, most_runs: int = MOST_RU
     return ContextTree.grow(keys, counts.astype(np.float64), depth)
 
 
-_BLOCKS = "block long, words array<binary>, trained array<long>, docs binary"
+def top_orders(counted: DataFrame, depth: int) -> list:
+    """The orders below TOP, from what each part's subtrees have there."""
+
+    def grow(batches):
+        for batch in batches:
+            for blob in batch.column(batch.schema.get_field_index("blob")):
+                keys, *values = grown(*_floats(blob.as_buffer()), depth, TOP)[1]
+                yield pa.RecordBatch.from_pydict({"keys": [keys.tobytes()], "sums": [np.stack(values).tobytes()]}, schema=pa.schema([("keys", pa.binary()), ("sums", pa.binary())]))
+
+    keys, sums = np.empty(0, np.uint64), np.empty((3, 0))
+    for r in counted.mapInArrow(grow, "keys binary, sums binary").toLocalIterator():
+        more = np.frombuffer(r["keys"], np.uint64)
+        keys, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
+        sums = np.stack([np.bincount(where, weights=v, minlength=len(keys)) for v in np.concatenate([sums, np.frombuffer(r["sums"]).reshape(3, -1)], axis=1)])
+    orders: list = [None] * TOP
+    for order in range(TOP - 1, -1, -1):
+        zeros, ones, product = sums
+        weighted, one, weight = _settled(zeros, ones, product)
+        orders[order] = (keys, one, weight)
+        if order:
+            keys, *sums = _up(keys, order - 1, zeros, ones, weighted)
+    return orders
+
+
+def _floats(blob) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = _unpacked(blob)
+    return keys, counts.astype(np.float64)
+
+
+def _texts(blob) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(blob).split(b"\xff")[:-1]
+
+
+def _distinct(texts: list[bytes], depth: int) -> np.ndarray:
+    found = [np.unique(runs_of(group, depth)[0]) for group in pieces(texts)]
+    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+_ASKED = "part int, asks long, n long, blob binary"
+
+
+def score_blocks(blocks: DataFrame, counted: DataFrame, depth: int) -> DataFrame:
+    """block and scores (as doubles) of every block of documents, from the staged texts and the counts of the training runs."""
+    parts = _parts(counted)
+    shipped = counted.sparkSession.sparkContext.broadcast(top_orders(counted, depth))
+    texts = blocks.where("texts is not null").select("block", "blocks", "sizes", "texts")
+
+    def ask(batches):
+        for batch in batches:
+            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                keys = _distinct(_texts(blob.as_buffer()), depth)
+                for row in _by_part(keys, np.zeros(len(keys), dtype=np.uint64), parts):
+                    yield pa.RecordBatch.from_arrays([row.column(0), pa.array([block], pa.int64()), row.column(1), row.column(2)], names=["part", "asks", "n", "blob"])
+
+    def answer(batches):
+        part, keys, counts, scorer = None, [], [], None
+        for batch in batches:
+            for own, asks, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+                if own != part:
+                    part, keys, counts, scorer = own, [], [], None
+                if asks is None:  # the part's counts come first
+                    k, c = _floats(blob.as_buffer())
+                    keys.append(k)
+                    counts.append(c)
+                    continue
+                if scorer is None:
+                    k, c = (np.concatenate(keys), np.concatenate(counts)) if keys else (np.empty(0, np.uint64), np.empty(0))
+                    scorer = Scorer(ContextTree(depth, shipped.value + grown(k, c, depth, TOP)[0][TOP:]))
+                values = scorer._runs(_unpacked(blob.as_buffer())[0]).astype("<f4").tobytes()
+                yield pa.RecordBatch.from_pydict({"block": [asks], "part": [part], "found": [values]}, schema=pa.schema([("block", pa.int64()), ("part", pa.int32()), ("found", pa.binary())]))
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        blocks, sizes, own = left.column("blocks")[0].as_py(), left.column("sizes")[0].as_py(), _texts(left.column("texts")[0].as_buffer())
+        keys = _distinct(own, depth)
+        by_part = dict(zip(right.column("part").to_pylist(), right.column("found"), strict=True))
+        value = np.empty(len(keys))
+        value[_dealt(keys, parts)[0]] = np.concatenate([np.frombuffer(by_part[p].as_buffer(), "<f4") for p in sorted(by_part)])
+        scores = []
+        for group in pieces(own):
+            runs, lengths = runs_of(group, depth)
+            found, where = np.unique(runs, return_inverse=True)
+            scores.append(np.add.reduceat(value[np.searchsorted(keys, found)][where], np.cumsum(lengths) - lengths))
+        ends = np.cumsum(sizes)[:-1]
+        return pa.table({"block": pa.array(blocks, pa.int64()), "scores": pa.array([x.tobytes() for x in np.split(np.concatenate(scores), ends)], pa.binary())})
+
+    asked = texts.select("block", "texts").mapInArrow(ask, _ASKED)
+    known = counted.select("part", F.lit(None).cast("long").alias("asks"), "n", "blob")
+    dealt = known.unionByName(asked).repartition("part").sortWithinPartitions("part", F.col("asks").asc_nulls_first())
+    answered = dealt.mapInArrow(answer, "block long, part int, found binary")
+    return texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, "block long, scores binary")
+
+
+#: Rows have either words, trained and docs of a block, or the texts of some blocks, of which each has a size in documents.
+_BLOCKS = "block long, words array<binary>, trained array<long>, docs binary, blocks array<long>, sizes array<long>, texts binary"
 
 
 class _Block:
@@ -288,11 +402,11 @@ class _Block:
 
     def __init__(self):
         self.words: dict[bytes, int] = {}
-        self.doc_ids, self.held, self.tokens, self.scores, self.sizes = [], [], [], [], []
+        self.doc_ids, self.held, self.tokens, self.sizes, self.texts = [], [], [], [], []
         self.number, self.times = [], []
-        self.n = 0
+        self.n = self.n_bytes = 0
 
-    def put(self, doc_id, held, text: bytes, score: float) -> None:
+    def put(self, doc_id, held, text: bytes) -> None:
         words = text.translate(_LOWER).split()
         counted = Counter(words)
         number = self.words
@@ -301,9 +415,10 @@ class _Block:
         self.doc_ids.append(doc_id)
         self.held.append(held)
         self.tokens.append(len(words) + 1)
-        self.scores.append(score)
         self.sizes.append(len(counted))
+        self.texts.append(text)
         self.n += len(words)
+        self.n_bytes += len(text)
 
     def row(self, block: int) -> pa.RecordBatch:
         sizes, number, times = (np.array(x, dtype="<u4") for x in (self.sizes, self.number, self.times))
@@ -312,20 +427,29 @@ class _Block:
         trained = np.bincount(number[train], weights=times[train], minlength=len(self.words)).astype(np.int64)
         ids = np.array([d or 0 for d in self.doc_ids], dtype="<i8")
         there = np.array([d is not None for d in self.doc_ids], dtype=bool)
-        body = [np.array([len(ids), len(number)], "<u8"), ids, there, held, np.array(self.tokens, "<u4"), np.array(self.scores, "<f8"), sizes, *number.view("u1").reshape(-1, 4).T, *times.view("u1").reshape(-1, 4).T]
+        body = [np.array([len(ids), len(number)], "<u8"), ids, there, held, np.array(self.tokens, "<u4"), sizes, *number.view("u1").reshape(-1, 4).T, *times.view("u1").reshape(-1, 4).T]
         blob = zstandard.ZstdCompressor(level=3).compress(b"".join([np.ascontiguousarray(x).tobytes() for x in body]))
         return pa.RecordBatch.from_pydict(
-            {"block": [block], "words": [list(self.words)], "trained": [trained.tolist()], "docs": [blob]},
-            schema=pa.schema([("block", pa.int64()), ("words", pa.list_(pa.binary())), ("trained", pa.list_(pa.int64())), ("docs", pa.binary())]),
+            {"block": [block], "words": [list(self.words)], "trained": [trained.tolist()], "docs": [blob], "blocks": [None], "sizes": [None], "texts": [None]}, schema=_BLOCK_SCHEMA
         )
 
 
+_BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.binary())), ("trained", pa.list_(pa.int64())), ("docs", pa.binary()), ("blocks", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
+
+
+def _text_row(held: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
+    """The texts of blocks; none has the byte that ends each."""
+    blob = zstandard.ZstdCompressor(level=3).compress(b"".join([t + b"\xff" for _, texts in held for t in texts]))
+    sizes = [len(texts) for _, texts in held]
+    return pa.RecordBatch.from_pydict({"block": [held[0][0]], "words": [None], "trained": [None], "docs": [None], "blocks": [[b for b, _ in held]], "sizes": [sizes], "texts": [blob]}, schema=_BLOCK_SCHEMA)
+
+
 def _opened(blob: bytes):
-    """doc_ids, held, tokens, scores, sizes, numbers, times of a block's documents."""
+    """doc_ids, held, tokens, sizes, numbers, times of a block's documents."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n, pairs = np.frombuffer(raw, "<u8", 2).tolist()
     at, out = 16, []
-    for kind, size in (("<i8", 8), ("?", 1), ("?", 1), ("<u4", 4), ("<f8", 8), ("<u4", 4)):
+    for kind, size in (("<i8", 8), ("?", 1), ("?", 1), ("<u4", 4), ("<u4", 4)):
         out.append(np.frombuffer(raw, kind, n, at))
         at += size * n
     planes = np.frombuffer(raw, "u1", 8 * pairs, at).reshape(2, 4, pairs)
@@ -335,29 +459,40 @@ def _opened(blob: bytes):
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
-def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFrame:
+def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    spark = docs.sparkSession
     rows = text_rows(docs, (remainder(F.col("doc_id"), modulus) == held).alias("held_out"))
-    shipped = spark.sparkContext.broadcast(fit(rows.where("not held_out")))
+    counted_runs = stage(count_runs(rows.where("not held_out"), depth), "runs")
 
     def make(batches):
-        scorer, block, k = Scorer(shipped.value), _Block(), 0
+        block, k, waiting = _Block(), 0, []
         base = TaskContext.get().partitionId() << 24
+
+        def close():
+            yield block.row(base + k)
+            waiting.append((base + k, block.texts))
+            if sum(len(t) for _, texts in waiting for t in texts) >= BLOCK_BYTES:
+                yield _text_row(waiting)
+                waiting.clear()
+
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 columns = batch.slice(at, 256).to_pydict()
                 texts = [t.encode("utf-8", "replace") for t in columns["text"]]
-                for x in zip(columns["doc_id"], columns["held_out"], texts, scorer.score(texts), strict=True):
+                for x in zip(columns["doc_id"], columns["held_out"], texts, strict=True):
                     block.put(*x)
-                    if len(block.words) >= BLOCK_WORDS or block.n >= BLOCK_TOKENS:
-                        yield block.row(base + k)
+                    if len(block.words) >= BLOCK_WORDS or block.n >= BLOCK_TOKENS or block.n_bytes >= BLOCK_BYTES:
+                        yield from close()
                         block, k = _Block(), k + 1
         if block.sizes:
-            yield block.row(base + k)
+            yield from close()
+        if waiting:
+            yield _text_row(waiting)
 
     blocks = stage(rows.mapInArrow(make, _BLOCKS), "blocks")
-    words = blocks.select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("i", "w")).select("block", "i", F.col("w.words").alias("word"), F.col("w.trained").alias("n"))
+    scores = stage(score_blocks(blocks, counted_runs, depth), "scores")
+    release_shuffles(docs.sparkSession)
+    words = blocks.where("docs is not null").select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("i", "w")).select("block", "i", F.col("w.words").alias("word"), F.col("w.trained").alias("n"))
     same = Window.partitionBy("word")
     # A word has one row a block, so a frequent one has no more rows than there are blocks.
     counted = stage(words.select("block", "i", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first")), "word-counts")
@@ -366,7 +501,7 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
     total, distinct = n_words + ends, kinds + (ends > 0)
 
     def base(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, there, held_out, tokens, scores, sizes, number, times = _opened(left.column("docs")[0].as_buffer())
+        ids, there, held_out, tokens, sizes, number, times = _opened(left.column("docs")[0].as_buffer())
         c = np.zeros(right.num_rows, dtype=np.int64)
         c[right.column("i").to_numpy()] = right.column("c").to_numpy()
         of = np.repeat(np.arange(len(ids)), sizes)
@@ -381,8 +516,8 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2) -> DataFra
                 "n_known": pa.array(known),
                 "train_tokens": pa.array(np.full(len(ids), total, dtype=np.int64)),
                 "base_score": pa.array(score),
-                "score": pa.array(scores),
+                "score": pa.array(np.frombuffer(left.column("scores")[0].as_buffer(), "<f8")),
             }
         )
 
-    return blocks.select("block", "docs").groupBy("block").cogroup(counted.select("block", "i", "c").groupBy("block")).applyInArrow(base, _SCORED)
+    return blocks.where("docs is not null").select("block", "docs").join(scores, "block").groupBy("block").cogroup(counted.select("block", "i", "c").groupBy("block")).applyInArrow(base, _SCORED)

@@ -88,6 +88,20 @@ def test_depth_follows_the_bound(spark):
     assert all(np.allclose(x, y) for a, b in zip(shallow.orders, again.orders, strict=True) for x, y in zip(a, b, strict=True))
 
 
+def test_depth_is_the_same_for_every_input_and_shards_change_no_score(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    noise = [(200 + i, bytes(rng.integers(33, 127, 3000, dtype=np.uint8)).decode()) for i in range(30)]
+    rows = [*TEXTS, *noise]
+    held = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 == 2
+    own, counts = np.unique(ctw.runs_of([(t or "").encode() for i, t in rows if not held(i)], 5)[0], return_counts=True)
+    scorer = ctw.Scorer(ctw.ContextTree.grow(own, counts.astype(float), 5))
+    expected = sorted((str(i), round(scorer.score([(t or "").encode()])[0], 2)) for i, t in rows)
+    monkeypatch.setattr(ctw, "MOST_RUNS", 1000)
+    got = sorted((str(r.doc_id), r.score) for r in ctw.score_documents(docs(spark, rows).repartition(3)).collect())
+    assert [i for i, _ in got] == [i for i, _ in expected]
+    assert np.allclose([x for _, x in got], [x for _, x in expected], rtol=1e-5, atol=0.02)
+
+
 def fingerprint_by_hand(text):
     words = WORD.findall((text or "").translate(LOW))
     shingles = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []

@@ -5,7 +5,9 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of an Arrow batch that become Python objects at once; bounds a worker's memory.
 SLICE_ROWS = 512
+SLICE_BYTES = 16 << 20
 #: Only for sessions that name no folder, as in tests.
 DEFAULT_SHARED_DIR = "/tmp/checkpoints"
 
@@ -47,6 +50,20 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % F.lit(modulus)
 
 
+def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of at most ``rows`` rows and of ``most`` bytes of strings, or of one row that has more."""
+    size = np.zeros(batch.num_rows, dtype=np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) or pa.types.is_binary(column.type):
+            size += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(ends, ends[at] - size[at] + most, "right"))
+        upto = min(at + rows, max(at + 1, upto))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def map_slices(df: DataFrame, schema: T.StructType, start: Callable[[], Callable[[dict], dict]], rows: int = SLICE_ROWS) -> DataFrame:
     """Run ``start()`` once in each task; it returns the function from a slice's columns to the output's columns."""
     arrow = to_arrow_schema(schema)
@@ -54,8 +71,8 @@ def map_slices(df: DataFrame, schema: T.StructType, start: Callable[[], Callable
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = start()
         for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                out = step(batch.slice(at, rows).to_pydict())
+            for part in slices(batch, rows):
+                out = step(part.to_pydict())
                 if out is not None:
                     yield pa.RecordBatch.from_pydict(out, schema=arrow)
 

@@ -22,10 +22,13 @@ import re
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
@@ -33,14 +36,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkyard.llm.common import map_slices, scratch_path, stage, text_rows
+from chunkyard.llm.common import map_slices, scratch_path, slices, stage, text_rows
 
 END_ID = 2
 #: Entries in each of the two generations of a worker's memory of encoded chunks.
 REMEMBERED_CHUNKS = 350_000
 REMEMBERED_CHARS = 200
-#: Documents whose chunks are looked up together.
-SLICE_DOCS = 8192
+#: Documents whose chunks are looked up together, and their bytes.
+SLICE_DOCS = 16384
+SLICE_BYTES = 32 << 20
+#: Bytes of frames that a reader of all documents takes at once.
+READ_BYTES = 8 << 20
 
 # Fixed values of the zstandard formats.
 SKIPPABLE_INDEX = 0x184D2A50
@@ -134,36 +140,41 @@ class ChunkedTokenizer:
         first, *rest = self._safe.split(text)
         return b"".join(self._raw([first, *(" " + c for c in rest)]))
 
-    @staticmethod
-    def _chunks(text: str) -> list[str]:
-        return ("\n" + text).replace("\n", " \n").split(" ")[1:]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text.  Texts are cut twice, first to learn what is new: that is cheaper than holding all pieces."""
-        young, needed = self.young, set()
-        special = {i for i, text in enumerate(texts) if any(s in text for s in self.special)}
-        for i, text in enumerate(texts):
-            if i not in special:
-                needed.update(set(self._chunks(text)).difference(young))
-        spoilt = {c for c in needed if c.split() != [c.removeprefix("\n")]}
-        young.update(self._learn(needed - spoilt))
-        out, skip = [], len(self.line_end)
-        for i, text in enumerate(texts):
-            if i in special:
-                out.append(self._raw([text])[0])
-                continue
-            chunks = self._chunks(text)
-            if spoilt and not spoilt.isdisjoint(chunks):
-                out.append(self._slow(text))
-            else:
-                out.append(b"".join(map(young.__getitem__, chunks))[skip:])
-        for c in needed:
+    def _packed(self, chunks: list[str]) -> list[bytes]:
+        """Packed ids of different chunks, remembered or learned; empty for those that cannot stand by themselves."""
+        young = self.young
+        missing = [c for c in chunks if c not in young]
+        spoilt = {c for c in missing if c.split() != [c.removeprefix("\n")]}
+        young.update(self._learn(set(missing) - spoilt))
+        out = [young.get(c, b"") for c in chunks]
+        for c in missing:
             if len(c) > REMEMBERED_CHARS:
                 young.pop(c, None)
         if len(young) > self.limit:
             self.old, self.young = young, {}
         return out
 
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text.  Arrow cuts the texts at spaces and line ends and numbers the different chunks; a chunk's
+        ids are looked up once and then copied to wherever it stands."""
+        if not texts:
+            return []
+        lines = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pa.array(texts, pa.large_string()), pa.scalar("\n", pa.large_string()))
+        cut = pc.split_pattern(pc.replace_substring(lines, "\n", " \n"), " ")
+        numbered = cut.flatten().dictionary_encode()
+        packed = [*self._packed(numbered.dictionary.to_pylist()), b""]
+        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
+        first, alone = np.cumsum(size) - size, size > 0
+        alone[-1] = True
+        bounds, at = cut.offsets.to_numpy().astype(np.int64), numbered.indices.to_numpy().astype(np.int64)
+        at[bounds[:-1]] = len(packed) - 1  # before a text's first chunk is nothing
+        each = size[at]
+        upto = np.concatenate([[0], np.cumsum(each)])
+        raw = np.frombuffer(b"".join(packed), "<u4")[np.arange(upto[-1]) + np.repeat(first[at] - upto[:-1], each)].tobytes()
+        good = np.logical_and.reduceat(alone[at], bounds[:-1]).tolist()
+        ends, skip = (4 * upto[bounds]).tolist(), len(self.line_end)
+        return [self._raw([t])[0] if any(x in t for x in self.special) else raw[a + skip : b] if g else self._slow(t) for t, g, a, b in zip(texts, good, ends, ends[1:], strict=False)]
+
 
 @lru_cache(maxsize=1)
 def shared_tokenizer(path: str) -> ChunkedTokenizer:
@@ -226,8 +237,21 @@ class FrameReader:
 
     def ids(self, k: int) -> bytes:
         """The packed ids of the k-th document; only its frame is read."""
-        packed, size, check = self.frames[k]
-        ids = self.decompressor.decompress(self.source.read_at(packed, self.offsets[k]), max_output_size=size) if size else b""
+        return self._opened(k, self.source.read_at(self.frames[k][0], self.offsets[k]))
+
+    def every(self) -> Iterator[bytes]:
+        """The packed ids of all documents in turn, read in long pieces."""
+        k = 0
+        while k < len(self.frames):
+            upto = max(k + 1, bisect_right(self.offsets, self.offsets[k] + READ_BYTES) - 1)
+            held = memoryview(self.source.read_at(self.offsets[upto] - self.offsets[k], self.offsets[k]))
+            for j in range(k, upto):
+                yield self._opened(j, held[self.offsets[j] - self.offsets[k] : self.offsets[j + 1] - self.offsets[k]])
+            k = upto
+
+    def _opened(self, k: int, frame: bytes | memoryview) -> bytes:
+        _, size, check = self.frames[k]
+        ids = self.decompressor.decompress(frame, max_output_size=size) if size else b""
         if len(ids) != size or xxhash.xxh64_intdigest(ids) & 0xFFFFFFFF != check:
             raise ValueError(f"frame {k} is damaged")
         return ids
@@ -243,16 +267,14 @@ def write_token_files(docs: DataFrame, out_dir: str | None = None, vocabulary: s
     ordered = text_rows(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def write(batches: Iterator) -> Iterator:
-        import pyarrow as pa
-
         tokenizer, (system, base) = shared_tokenizer(path), file_system(out_dir)
         system.create_dir(base, recursive=True)
         number = TaskContext.get().partitionId()
         own, final = f"{base}/.writing-{number}-{uuid.uuid4().hex}", f"{base}/tokens-{number:06d}.zst"
         writer = None
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_DOCS):
-                columns = batch.slice(at, SLICE_DOCS).to_pydict()
+            for part in slices(batch, SLICE_DOCS, SLICE_BYTES):
+                columns = part.to_pydict()
                 writer = writer or FrameWriter(system.open_output_stream(own))
                 for doc_id, ids in zip(columns["doc_id"], tokenizer.encode(columns["text"]), strict=True):
                     writer.put(doc_id, ids + end)
@@ -282,8 +304,7 @@ def read_token_files(manifest: DataFrame) -> DataFrame:
                 system, name = file_system(path)
                 with system.open_input_file(name) as source:
                     reader = FrameReader(source)
-                    for k, doc_id in enumerate(reader.doc_ids):
-                        ids = reader.ids(k)
+                    for doc_id, ids in zip(reader.doc_ids, reader.every(), strict=True):
                         for c, v in zip(out.values(), (doc_id, at, len(ids) // 4, zlib.crc32(ids)), strict=True):
                             c.append(v)
                         at += len(ids) // 4

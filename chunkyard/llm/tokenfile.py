@@ -40,11 +40,11 @@ from chunkyard.llm.common import map_slices, scratch_path, slices, stage, text_r
 
 END_ID = 2
 #: Entries in each of the two generations of a worker's memory of encoded chunks.
-REMEMBERED_CHUNKS = 350_000
+REMEMBERED_CHUNKS = 300_000
 REMEMBERED_CHARS = 200
 #: Documents whose chunks are looked up together, and their bytes.
 SLICE_DOCS = 16384
-SLICE_BYTES = 32 << 20
+SLICE_BYTES = 12 << 20
 #: Bytes of frames that a reader of all documents takes at once.
 READ_BYTES = 8 << 20
 
@@ -64,16 +64,30 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def laid(pool: np.ndarray, first: np.ndarray, size: np.ndarray, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pool's pieces (of these sizes, from these places on) that ``which`` names, side by side, and where each begins, with the end."""
+    each = size[which]
+    upto = np.concatenate([[0], np.cumsum(each, dtype=np.int64)])
+    places = np.repeat((first[which] - upto[:-1]).astype(np.int32), each)
+    places += np.arange(upto[-1], dtype=np.int32)
+    return pool[places], upto
+
+
 class ChunkedTokenizer:
     """The library's ids, with what stands between spaces and line ends remembered.
 
     The vocabulary's cutting pattern never crosses a space or line end that stands alone between two
-    other characters, nor the place between a letter and the full stops and commas that end a chunk,
-    so such pieces are encoded by themselves.  New pieces go to the library many at a time, each after
-    its space; only a piece's first token starts with one, which tells their ids apart.
+    other characters, nor the place between a letter and the ASCII punctuation that ends a chunk, so
+    such pieces are encoded by themselves.  Arrow cuts the texts and numbers the different pieces; new
+    ones go to the library many at a time, each after its space; only a piece's first token starts with
+    one, which tells their ids apart.
     """
 
     _safe = re.compile(r"(?<=\S) (?=\S)")
+    #: What ends in a letter, and the punctuation after it.
+    _parts = r"(?s)^(?P<stem>.*\pL)(?P<tail>[[:punct:]]*)$"
+    #: White space of any kind but the line end that a chunk may start with; or nothing at all.
+    _spoilt = r"[\x09\x0b-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|^\n?$"
 
     def __init__(self, path: str, remembered: int = REMEMBERED_CHUNKS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
@@ -86,7 +100,7 @@ class ChunkedTokenizer:
         for token, i in self.library.get_vocab().items():
             self.starts[i] = token.startswith(space)
         self.line_end = self._raw(["\n"])[0]
-        self.limit, self.young, self.old, self.ends = remembered, {}, {}, {}
+        self.limit, self.young, self.old, self.tails = remembered, {}, {}, {"": b""}
 
     def _raw(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -103,76 +117,73 @@ class ChunkedTokenizer:
             raise ValueError("this vocabulary does not keep a space at the start of a token")
         return out
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """Packed ids of chunks without inner white space: one that starts with a line end has no space before it."""
-        young, old, ends = self.young.get, self.old.get, self.ends
-        found: dict[str, bytes] = {}
-        new: set[str] = set()
-        waiting: list[tuple[str, str]] = []
-        for c in chunks:
-            if (ids := old(c)) is not None:
-                found[c] = ids
-                continue
-            stem = c.rstrip(".,")
-            if len(stem) == len(c) or not stem[-1:].isalpha():
-                new.add(c)
-            elif (ids := young(stem) or old(stem)) is not None:
-                found[c] = ids + (ends.get(c[len(stem) :]) or self._end(c[len(stem) :]))
+    def _recalled(self, stems: list[str]) -> list[bytes]:
+        """Packed ids of different stems: one that starts with a line end has no space before it."""
+        young, old = self.young, self.old
+        found = list(map(young.get, stems))
+        missing = [k for k, ids in enumerate(found) if ids is None]
+        new = []
+        for k in missing:
+            if (ids := old.get(stems[k])) is None:
+                new.append(k)
             else:
-                new.add(stem)
-                waiting.append((c, stem))
-        spaced, opening = [c for c in new if c[0] != "\n"], [c for c in new if c[0] == "\n"]
-        found |= zip(spaced, self._spaced(spaced), strict=True)
-        found |= zip(opening, [self.line_end + ids for ids in self._raw([c[1:] for c in opening])], strict=True)
-        for c, stem in waiting:
-            found[c] = found[stem] + (ends.get(c[len(stem) :]) or self._end(c[len(stem) :]))
+                found[k] = ids
+        for k, ids in zip([k for k in new if stems[k][0] != "\n"], self._spaced([stems[k] for k in new if stems[k][0] != "\n"]), strict=True):
+            found[k] = ids
+        opening = [k for k in new if stems[k][0] == "\n"]
+        for k, ids in zip(opening, self._raw([stems[k][1:] for k in opening]), strict=True):
+            found[k] = self.line_end + ids
+        young.update((stems[k], found[k]) for k in missing if len(stems[k]) <= REMEMBERED_CHARS)
+        if len(young) > self.limit:
+            self.old, self.young = young, {}
         return found
 
-    def _end(self, end: str) -> bytes:
-        """The packed ids of full stops and commas after a letter."""
-        ids = self._raw([end])[0]
-        if len(end) < 9:  # a bounded number of them
-            self.ends[end] = ids
+    def _tail(self, tail: str) -> bytes:
+        """The packed ids of punctuation after a letter."""
+        if (ids := self.tails.get(tail)) is None:
+            ids = self._raw([tail])[0]
+            if len(tail) < 9 and len(self.tails) < 4096:
+                self.tails[tail] = ids
         return ids
 
+    def _packed(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of different chunks, side by side, and where each chunk's begin; those that cannot stand by themselves have none."""
+        parts = pc.extract_regex(chunks, self._parts)
+        whole = parts.is_null()
+        stem = pc.if_else(whole, chunks, pc.struct_field(parts, 0))
+        spoilt = pc.match_substring_regex(chunks, self._spoilt)
+        stem = pc.if_else(spoilt, pa.scalar(None, stem.type), stem).dictionary_encode()
+        tail = pc.if_else(pc.or_(whole, spoilt), pa.scalar("", chunks.type), pc.struct_field(parts, 1)).dictionary_encode()
+        packed = [*self._recalled(stem.dictionary.to_pylist()), b"", *map(self._tail, tail.dictionary.to_pylist())]
+        which = np.empty(2 * len(chunks), np.int32)
+        which[0::2] = pc.fill_null(stem.indices, len(stem.dictionary)).to_numpy(zero_copy_only=False)
+        which[1::2] = tail.indices.to_numpy() + np.int32(len(stem.dictionary) + 1)
+        size = np.fromiter(map(len, packed), np.int32, len(packed)) // 4
+        ids, upto = laid(np.frombuffer(b"".join(packed), "<u4"), np.cumsum(size) - size, size, which)
+        return ids, upto[0::2]
+
     def _slow(self, text: str) -> bytes:
         """With white space of any kind."""
         first, *rest = self._safe.split(text)
         return b"".join(self._raw([first, *(" " + c for c in rest)]))
 
-    def _packed(self, chunks: list[str]) -> list[bytes]:
-        """Packed ids of different chunks, remembered or learned; empty for those that cannot stand by themselves."""
-        young = self.young
-        missing = [c for c in chunks if c not in young]
-        spoilt = {c for c in missing if c.split() != [c.removeprefix("\n")]}
-        young.update(self._learn(set(missing) - spoilt))
-        out = [young.get(c, b"") for c in chunks]
-        for c in missing:
-            if len(c) > REMEMBERED_CHARS:
-                young.pop(c, None)
-        if len(young) > self.limit:
-            self.old, self.young = young, {}
-        return out
-
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text.  Arrow cuts the texts at spaces and line ends and numbers the different chunks; a chunk's
-        ids are looked up once and then copied to wherever it stands."""
+        """Packed ids of each text; a chunk's are looked up once and then copied to wherever it stands."""
         if not texts:
             return []
-        lines = pc.binary_join_element_wise(pa.scalar("", pa.large_string()), pa.array(texts, pa.large_string()), pa.scalar("\n", pa.large_string()))
+        text = lambda x: pa.scalar(x, pa.large_string())
+        lines = pc.binary_join_element_wise(text(""), pa.array(texts, pa.large_string()), text("\n"))
         cut = pc.split_pattern(pc.replace_substring(lines, "\n", " \n"), " ")
         numbered = cut.flatten().dictionary_encode()
-        packed = [*self._packed(numbered.dictionary.to_pylist()), b""]
-        size = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
-        first, alone = np.cumsum(size) - size, size > 0
+        pool, first = self._packed(numbered.dictionary)
+        size, first = np.append(np.diff(first), 0), np.append(first[:-1], 0)
+        alone = size > 0
         alone[-1] = True
-        bounds, at = cut.offsets.to_numpy().astype(np.int64), numbered.indices.to_numpy().astype(np.int64)
-        at[bounds[:-1]] = len(packed) - 1  # before a text's first chunk is nothing
-        each = size[at]
-        upto = np.concatenate([[0], np.cumsum(each)])
-        raw = np.frombuffer(b"".join(packed), "<u4")[np.arange(upto[-1]) + np.repeat(first[at] - upto[:-1], each)].tobytes()
-        good = np.logical_and.reduceat(alone[at], bounds[:-1]).tolist()
-        ends, skip = (4 * upto[bounds]).tolist(), len(self.line_end)
+        bounds, which = cut.offsets.to_numpy(), numbered.indices.to_numpy().copy()
+        which[bounds[:-1]] = len(size) - 1  # before a text's first chunk is nothing
+        ids, upto = laid(pool, first, size, which)
+        good = np.logical_and.reduceat(alone[which], bounds[:-1]).tolist()
+        raw, ends, skip = ids.tobytes(), (4 * upto[bounds]).tolist(), len(self.line_end)
         return [self._raw([t])[0] if any(x in t for x in self.special) else raw[a + skip : b] if g else self._slow(t) for t, g, a, b in zip(texts, good, ends, ends[1:], strict=False)]
 
 

@@ -3,63 +3,54 @@
 A byte is eight binary decisions; each place in that decision tree has a context tree of its own over
 the preceding bytes.  A node keeps a Krichevsky-Trofimov estimate of its zeros and ones, and the
 weighting mixes it half and half with the product over the node's children, up from the deepest.
-The counts all follow from how often each run of depth + 1 bytes occurs in the training texts:
-tasks count their runs, counts of a run meet in a shuffle, and the tree is made from their sum.
-A run's probability does not depend on where it stands, so scoring looks runs up and computes only
-the probabilities of those not met before.  Texts start after, and end with, the byte 0xFF, which
-UTF-8 never has, so all texts' probabilities sum to one.
-
-The depth is ``DEPTH`` for every input.  The tree is never in one place: the last ``TOP`` bytes of a context
-name its shard, in which all orders from ``TOP`` on are grown; what shards have below that is summed at
-the driver, at most 65,280 nodes.  Texts are gathered in blocks; each block's distinct runs go to their
-shards once, and their probabilities come back.  ``fit`` makes a small corpus's tree in one piece, and
-lowers the depth to bound it; ``score_documents`` does not use it.
-
-The base needs every word's count over the corpus, an unbounded table.  Tasks turn their documents
-into blocks (distinct words, and each document's word numbers and frequencies); only the words are
-shuffled, once each a block, get their counts, and go back to their blocks by number.
+The counts all follow from how often each run of depth + 1 bytes occurs in the training texts, and a
+run's probability does not depend on where it stands.  Texts start after, and end with, the byte 0xFF,
+which UTF-8 never has, so all texts' probabilities sum to one.  A score's code length in bits over the
+text's bytes is ``bits_per_byte``.
+
+The depth is ``DEPTH`` for every input, and no table over the corpus is ever in one place.  Documents are
+gathered into blocks, and a block asks once for each distinct run and each distinct word of its texts,
+telling how often its training texts have them.  What is asked is dealt into parts: runs by the last ``TOP``
+bytes of their context, in which all orders from ``TOP`` on are grown; words by a hash.  What the parts'
+trees have below ``TOP`` is summed at the driver, at most 65,280 nodes.  The answers (a run's
+probability, a word's count) go back to their blocks, so a common word or run has one row a block and
+is summed there before it is shuffled.
 
 Edge cases: null text is empty and has the end alone; a null doc_id counts as empty text for the
 hold-out; without training texts N, V and all counts are 0, the base of a token is log10(1), and each
-bit's probability is a half; repeated rows count and are scored each; other columns are ignored.
+bit's probability is a half; repeated rows count and are scored each; other columns are ignored; an
+empty table gives no rows; a text longer than a block is a block of its own.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chunkyard.llm.common import remainder, stage, text_rows
-from chunkyard.llm.simhash import release_shuffles
 
-#: Bytes of context of every input's tree, and how many of them name a shard.
+#: Bytes of context of every input's tree, and how many of them name a part.
 DEPTH = 5
 TOP = 2
-#: Bounds of a tree in one piece.
-MOST_DEPTH = 4
-MOST_RUNS = 3_000_000
 EDGE = 0xFF
-#: Bytes of text whose runs are counted or scored at once.
-PIECE_BYTES = 2 << 20
-#: Distinct runs a task holds before it sends their counts on.
-HELD_RUNS = 1_500_000
-#: Parts that counts are shuffled in, at least.
+#: Bytes of text whose runs are sorted at once.
+PIECE_BYTES = 4 << 20
+#: Parts that what is asked is dealt into, at least.
 LEAST_PARTS = 64
-#: Distinct words, and tokens, of a block of documents.
-BLOCK_WORDS = 250_000
-BLOCK_TOKENS = 8_000_000
-#: Bytes of text of a block; blocks' texts are scored together from so many bytes on.
-BLOCK_BYTES = 8 << 20
-#: Slots of a worker's memory of runs' probabilities.
+#: Bytes of text of a block.
+BLOCK_BYTES = 16 << 20
+#: Slots of a task's memory of runs' probabilities.
 CACHE_BITS = 20
-_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
+#: A-Z in lower case, white space as spaces.
+_FORM = bytes(b + 32 if 65 <= b <= 90 else 32 if 9 <= b <= 13 else b for b in range(256))
 
 
 def runs_of(texts: list[bytes], depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,6 +121,7 @@ class ContextTree:
 
     @staticmethod
     def grow(runs: np.ndarray, counts: np.ndarray, depth: int) -> ContextTree:
+        """From the distinct runs and their counts."""
         return ContextTree(depth, grown(runs, counts, depth)[0])
 
     def log10_of(self, runs: np.ndarray) -> np.ndarray:
@@ -162,7 +154,7 @@ class Scorer:
         self.key = np.full(1 << CACHE_BITS, np.iinfo(np.uint64).max, dtype=np.uint64)
         self.value = np.zeros(1 << CACHE_BITS, dtype=np.float64)
 
-    def _runs(self, runs: np.ndarray) -> np.ndarray:
+    def of_runs(self, runs: np.ndarray) -> np.ndarray:
         slot = ((runs * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - CACHE_BITS)).astype(np.int64)
         out = self.value[slot]
         missing = np.flatnonzero(self.key[slot] != runs)
@@ -181,16 +173,16 @@ class Scorer:
         out: list[float] = []
         for group in pieces(texts):
             runs, sizes = runs_of(group, self.tree.depth)
-            out += np.add.reduceat(self._runs(runs), np.cumsum(sizes) - sizes).tolist()
+            out += np.add.reduceat(self.of_runs(runs), np.cumsum(sizes) - sizes).tolist()
         return out
 
 
-def pieces(texts: list[bytes]):
+def pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
     """The texts in groups of about PIECE_BYTES."""
     group, size = [], 0
     for t in texts:
         group.append(t)
-        size += len(t) + MOST_DEPTH + 1
+        size += len(t) + 1
         if size >= PIECE_BYTES:
             yield group
             group, size = [], 0
@@ -198,107 +190,169 @@ def pieces(texts: list[bytes]):
         yield group
 
 
+def _zipped(raw: bytes, level: int = 1) -> bytes:
+    return zstandard.ZstdCompressor(level=level).compress(raw)
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """Unsigned 64-bit integers, byte plane by byte plane."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def _from_planes(raw: bytes | memoryview, n: int, at: int = 0) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8, 8 * n, at).reshape(8, n).T).view("<u8").ravel()
+
+
 def _packed(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Sorted keys as differences, byte plane by byte plane, and counts."""
-    steps = np.diff(keys, prepend=np.uint64(0)).astype("<u8").view(np.uint8).reshape(-1, 8)
-    tallies = counts.astype("<u8").view(np.uint8).reshape(-1, 8)
-    return zstandard.ZstdCompressor(level=1).compress(len(keys).to_bytes(8, "little") + np.ascontiguousarray(steps.T).tobytes() + np.ascontiguousarray(tallies.T).tobytes())
+    """Sorted keys as differences, and counts."""
+    return _zipped(len(keys).to_bytes(8, "little") + _planes(np.diff(keys, prepend=np.uint64(0))) + _planes(counts))
 
 
-def _unpacked(blob: bytes) -> tuple[np.ndarray, np.ndarray]:
+def _unpacked(blob) -> tuple[np.ndarray, np.ndarray]:
     raw = zstandard.ZstdDecompressor().decompress(blob)
     n = int.from_bytes(raw[:8], "little")
-    planes = np.frombuffer(raw, np.uint8, 16 * n, 8).reshape(2, 8, n)
-    steps, counts = (np.ascontiguousarray(p.T).view("<u8").ravel() for p in planes)
-    return np.cumsum(steps, dtype=np.uint64), counts
+    return np.cumsum(_from_planes(raw, n, 8), dtype=np.uint64), _from_planes(raw, n, 8 + 8 * n)
 
 
-def _sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    own, where = np.unique(keys, return_inverse=True)
-    return own, np.bincount(where, weights=counts, minlength=len(own)).astype(np.uint64)
+def _tallied(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct runs, sorted, and how often each occurs."""
+    runs = np.sort(runs)
+    first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]])) if len(runs) else np.empty(0, np.int64)
+    return runs[first], np.diff(np.append(first, len(runs))).astype(np.uint64)
 
 
-_COUNTS = "part int, n long, blob binary"
+def _sum(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of keys in sorted stretches: the distinct ones and the sums of their counts."""
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
 def _parts(df: DataFrame) -> int:
-    """How many parts the runs are dealt into: a power of two that grows with the session's shuffle partitions."""
+    """How many parts there are: a power of two that grows with the session's shuffle partitions."""
     return max(LEAST_PARTS, 1 << (int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
-def _row(part: int, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pydict({"part": [part], "n": [len(keys)], "blob": [_packed(keys, counts)]}, schema=pa.schema([("part", pa.int32()), ("n", pa.int64()), ("blob", pa.binary())]))
+def _dealt(part: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of what is asked by part, and where each part begins."""
+    order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
+    return order, np.searchsorted(part[order], np.arange(parts + 1))
 
 
-def _dealt(keys: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of runs by part, and where each part begins.  Runs with the same last TOP bytes of context have the same part."""
+def _part_of_runs(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Runs with the same last TOP bytes of context have the same part."""
     near = (keys >> np.uint64(8)) & np.uint64((1 << 8 * TOP) - 1)
-    part = ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (parts - 1).bit_length())).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    return order, np.searchsorted(part[order], np.arange(parts + 1))
+    return ((near * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - (parts - 1).bit_length())).astype(np.int64)
 
 
-def _by_part(keys: np.ndarray, counts: np.ndarray, parts: int):
-    order, edges = _dealt(keys, parts)
-    for k in range(parts):
-        if edges[k] < edges[k + 1]:
-            own = order[edges[k] : edges[k + 1]]
-            yield _row(k, keys[own], counts[own])
+def _part_of_words(words: list[bytes], parts: int) -> np.ndarray:
+    return np.fromiter(map(zlib.crc32, words), np.int64, len(words)) & (parts - 1)
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row of a part's counts; at most its distinct runs and one batch are held."""
-    part, keys, counts = 0, np.empty(0, np.uint64), np.empty(0, np.uint64)
-    for batch in batches:
-        part = batch.column(0)[0].as_py()
-        held = [_unpacked(b.as_buffer()) for b in batch.column(2)]
-        keys, counts = _sum(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(c for _, c in held)]))
-    yield _row(part, keys, counts)
+class _Words:
+    """The words of texts: each one's text and number, and the distinct words by number."""
 
+    def __init__(self, texts: list[bytes]):
+        cut = pc.split_pattern(pa.array([t.translate(_FORM) for t in texts], pa.large_binary()), " ")
+        flat = cut.flatten()
+        real = pc.greater(pc.binary_length(flat), 0)
+        numbered = flat.filter(real).dictionary_encode()
+        self.text = np.repeat(np.arange(len(texts)), np.diff(cut.offsets.to_numpy()))[real.to_numpy(zero_copy_only=False)]
+        self.number = numbered.indices.to_numpy(zero_copy_only=False)
+        self.distinct: list[bytes] = numbered.dictionary.to_pylist()
 
-def count_runs(texts: DataFrame, depth: int) -> DataFrame:
-    """Counts of the runs of depth + 1 bytes in column text, a row for each part of the runs."""
 
-    parts = _parts(texts)
+_BLOCKS = "block long, n_train long, ids binary, there binary, held binary, texts binary"
+_ASKS = "part int, block long, words boolean, blob binary"
+_COUNTS = "part int, blob binary"
+_ANSWERS = "part int, block long, words boolean, blob binary, n long, kinds long"
 
-    def count(batches):
-        keys, counts = np.empty(0, np.uint64), np.empty(0, np.uint64)
-        for batch in batches:
-            for group in pieces([(t.as_py() or "").encode("utf-8", "replace") for t in batch.column(0)]):
-                own, n = np.unique(runs_of(group, depth)[0], return_counts=True)
-                keys, counts = _sum(np.concatenate([keys, own]), np.concatenate([counts, n.astype(np.uint64)]))
-                if len(keys) > HELD_RUNS:
-                    yield from _by_part(keys, counts, parts)
-                    keys, counts = keys[:0], counts[:0]
-        yield from _by_part(keys, counts, parts)
 
-    return texts.select("text").mapInArrow(count, _COUNTS).groupBy("part").applyInArrow(_merge, _COUNTS)
+def _rows(schema: str, **columns: list) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "boolean": pa.bool_(), "binary": pa.binary(), "double": pa.float64()}
+    fields = [x.split(" ") for x in schema.split(", ")]
+    return pa.RecordBatch.from_pydict({k: columns[k] for k, _ in fields}, schema=pa.schema([(k, kinds[t]) for k, t in fields]))
 
 
-def shorten(counted: DataFrame, depth: int) -> DataFrame:
-    """The counts of the runs' last depth + 1 bytes."""
-    kept, parts = np.uint64((1 << 8 * (depth + 1)) - 1), _parts(counted)
+def _texts(blob) -> list[bytes]:
+    return zstandard.ZstdDecompressor().decompress(blob).split(b"\xff")[:-1]
 
-    def drop(batches):
+
+def gathered(rows: DataFrame) -> DataFrame:
+    """Blocks of documents: doc_ids (and whether there is one), whether each is held out, and the texts."""
+
+    def make(batches):
+        ids, held, texts, size, number = [], [], [], 0, TaskContext.get().partitionId() << 24
+
+        def row():
+            there = np.array([i is not None for i in ids], dtype=bool)
+            own = np.array([i or 0 for i in ids], dtype="<i8").tobytes()
+            blob = _zipped(b"".join([t + b"\xff" for t in texts]), 3)
+            return _rows(_BLOCKS, block=[number], n_train=[len(held) - sum(held)], ids=[own], there=[there.tobytes()], held=[np.array(held, dtype=bool).tobytes()], texts=[blob])
+
+        for batch in batches:
+            for i, h, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(1), strict=True):
+                text = t.as_buffer().to_pybytes()
+                if b"\xff" in text:  # not UTF-8
+                    text = text.decode("utf-8", "replace").encode()
+                if size and size + len(text) > BLOCK_BYTES:
+                    yield row()
+                    ids, held, texts, size, number = [], [], [], 0, number + 1
+                ids.append(i)
+                held.append(h)
+                texts.append(text)
+                size += len(text) + 1
+        if ids:
+            yield row()
+
+    return rows.select("doc_id", "text", "held_out").mapInArrow(make, _BLOCKS)
+
+
+def asked(blocks: DataFrame, depth: int, parts: int) -> DataFrame:
+    """A row for each block and part: distinct runs, or words, with their counts in the block's training texts."""
+
+    def ask(batches):
+        for batch in batches:
+            for block, held, blob in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
+                texts, held = _texts(blob.as_buffer()), np.frombuffer(held.as_buffer(), dtype=bool)
+                found = [_tallied(runs_of(group, depth)[0]) for group in pieces([t for t, h in zip(texts, held, strict=True) if not h])]
+                for group in pieces([t for t, h in zip(texts, held, strict=True) if h]):
+                    keys = _tallied(runs_of(group, depth)[0])[0]
+                    found.append((keys, np.zeros(len(keys), np.uint64)))
+                keys, counts = _sum(np.concatenate([k for k, _ in found]), np.concatenate([c for _, c in found]))
+                order, edges = _dealt(_part_of_runs(keys, parts), parts)
+                for k in np.flatnonzero(np.diff(edges)).tolist():
+                    own = order[edges[k] : edges[k + 1]]
+                    yield _rows(_ASKS, part=[k], block=[block], words=[False], blob=[_packed(keys[own], counts[own])])
+                words = _Words(texts)
+                counts = np.bincount(words.number[~held[words.text]], minlength=len(words.distinct))
+                order, edges = _dealt(_part_of_words(words.distinct, parts), parts)
+                for k in np.flatnonzero(np.diff(edges)).tolist():
+                    own = order[edges[k] : edges[k + 1]]
+                    line = b" ".join([words.distinct[i] for i in own.tolist()])
+                    yield _rows(_ASKS, part=[k], block=[block], words=[True], blob=[_zipped(len(own).to_bytes(8, "little") + _planes(counts[own]) + line)])
+
+    return blocks.select("block", "held", "texts").mapInArrow(ask, _ASKS)
+
+
+def counted_runs(asks: DataFrame) -> DataFrame:
+    """The counts of each part's runs; at most a part's distinct runs and one batch are held."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, keys, counts = 0, np.empty(0, np.uint64), np.empty(0, np.uint64)
         for batch in batches:
-            for blob in batch.column(batch.schema.get_field_index("blob")):
-                keys, counts = _unpacked(blob.as_buffer())
-                yield from _by_part(*_sum(keys & kept, counts), parts)
+            part = batch.column(0)[0].as_py()
+            held = [(k[c > 0], c[c > 0]) for k, c in (_unpacked(b.as_buffer()) for b in batch.column(1))]
+            keys, counts = _sum(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(c for _, c in held)]))
+        yield _rows(_COUNTS, part=[part], blob=[_packed(keys, counts)])
 
-    return counted.mapInArrow(drop, _COUNTS).groupBy("part").applyInArrow(_merge, _COUNTS)
+    return asks.where("not words").select("part", "blob").groupBy("part").applyInArrow(merge, _COUNTS)
 
 
-def fit(texts: DataFrame, most_depth: int = MOST_DEPTH, most_runs: int = MOST_RUNS) -> ContextTree:
-    """The context tree of the texts: as deep as the bound on its size allows."""
-    depth = most_depth
-    counted = stage(count_runs(texts, depth), "runs")
-    while (counted.agg(F.sum("n")).first()[0] or 0) > most_runs and depth > 1:
-        depth -= 1
-        counted = stage(shorten(counted, depth), "runs")
-    found = [_unpacked(r.blob) for r in counted.select("blob").toLocalIterator()]
-    keys = np.concatenate([k for k, _ in found]) if found else np.empty(0, np.uint64)
-    counts = np.concatenate([c for _, c in found]) if found else np.empty(0, np.uint64)
-    return ContextTree.grow(keys, counts.astype(np.float64), depth)
+def _floats(blob) -> tuple[np.ndarray, np.ndarray]:
+    keys, counts = _unpacked(blob)
+    return keys, counts.astype(np.float64)
 
 
 def top_orders(counted: DataFrame, depth: int) -> list:
@@ -306,12 +360,12 @@ def top_orders(counted: DataFrame, depth: int) -> list:
 
     def grow(batches):
         for batch in batches:
-            for blob in batch.column(batch.schema.get_field_index("blob")):
+            for blob in batch.column(0):
                 keys, *values = grown(*_floats(blob.as_buffer()), depth, TOP)[1]
-                yield pa.RecordBatch.from_pydict({"keys": [keys.tobytes()], "sums": [np.stack(values).tobytes()]}, schema=pa.schema([("keys", pa.binary()), ("sums", pa.binary())]))
+                yield _rows("keys binary, sums binary", keys=[keys.tobytes()], sums=[np.stack(values).tobytes()])
 
     keys, sums = np.empty(0, np.uint64), np.empty((3, 0))
-    for r in counted.mapInArrow(grow, "keys binary, sums binary").toLocalIterator():
+    for r in counted.select("blob").mapInArrow(grow, "keys binary, sums binary").toLocalIterator():
         more = np.frombuffer(r["keys"], np.uint64)
         keys, where = np.unique(np.concatenate([keys, more]), return_inverse=True)
         sums = np.stack([np.bincount(where, weights=v, minlength=len(keys)) for v in np.concatenate([sums, np.frombuffer(r["sums"]).reshape(3, -1)], axis=1)])
@@ -325,43 +379,17 @@ def top_orders(counted: DataFrame, depth: int) -> list:
     return orders
 
 
-def _floats(blob) -> tuple[np.ndarray, np.ndarray]:
-    keys, counts = _unpacked(blob)
-    return keys, counts.astype(np.float64)
-
-
-def _texts(blob) -> list[bytes]:
-    return zstandard.ZstdDecompressor().decompress(blob).split(b"\xff")[:-1]
-
-
-def _distinct(texts: list[bytes], depth: int) -> np.ndarray:
-    found = [np.unique(runs_of(group, depth)[0]) for group in pieces(texts)]
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
-
-
-_ASKED = "part int, asks long, n long, blob binary"
-
-
-def score_blocks(blocks: DataFrame, counted: DataFrame, depth: int) -> DataFrame:
-    """block and scores (as doubles) of every block of documents, from the staged texts and the counts of the training runs."""
-    parts = _parts(counted)
-    shipped = counted.sparkSession.sparkContext.broadcast(top_orders(counted, depth))
-    texts = blocks.where("texts is not null").select("block", "blocks", "sizes", "texts")
-
-    def ask(batches):
-        for batch in batches:
-            for block, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                keys = _distinct(_texts(blob.as_buffer()), depth)
-                for row in _by_part(keys, np.zeros(len(keys), dtype=np.uint64), parts):
-                    yield pa.RecordBatch.from_arrays([row.column(0), pa.array([block], pa.int64()), row.column(1), row.column(2)], names=["part", "asks", "n", "blob"])
+def answered_runs(asks: DataFrame, counted: DataFrame, depth: int) -> DataFrame:
+    """The log10 probabilities of the runs of every ask, as 32-bit floats."""
+    shipped = asks.sparkSession.sparkContext.broadcast(top_orders(counted, depth))
 
     def answer(batches):
         part, keys, counts, scorer = None, [], [], None
         for batch in batches:
-            for own, asks, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+            for own, block, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if own != part:
                     part, keys, counts, scorer = own, [], [], None
-                if asks is None:  # the part's counts come first
+                if block is None:  # the part's counts come first
                     k, c = _floats(blob.as_buffer())
                     keys.append(k)
                     counts.append(c)
@@ -369,155 +397,83 @@ def score_blocks(blocks: DataFrame, counted: DataFrame, depth: int) -> DataFrame
                 if scorer is None:
                     k, c = (np.concatenate(keys), np.concatenate(counts)) if keys else (np.empty(0, np.uint64), np.empty(0))
                     scorer = Scorer(ContextTree(depth, shipped.value + grown(k, c, depth, TOP)[0][TOP:]))
-                values = scorer._runs(_unpacked(blob.as_buffer())[0]).astype("<f4").tobytes()
-                yield pa.RecordBatch.from_pydict({"block": [asks], "part": [part], "found": [values]}, schema=pa.schema([("block", pa.int64()), ("part", pa.int32()), ("found", pa.binary())]))
+                values = scorer.of_runs(_unpacked(blob.as_buffer())[0]).astype("<f4").tobytes()
+                yield _rows(_ANSWERS, part=[part], block=[block], words=[False], blob=[values], n=[0], kinds=[0])
 
-    def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        blocks, sizes, own = left.column("blocks")[0].as_py(), left.column("sizes")[0].as_py(), _texts(left.column("texts")[0].as_buffer())
-        keys = _distinct(own, depth)
-        by_part = dict(zip(right.column("part").to_pylist(), right.column("found"), strict=True))
-        value = np.empty(len(keys))
-        value[_dealt(keys, parts)[0]] = np.concatenate([np.frombuffer(by_part[p].as_buffer(), "<f4") for p in sorted(by_part)])
-        scores = []
-        for group in pieces(own):
-            runs, lengths = runs_of(group, depth)
-            found, where = np.unique(runs, return_inverse=True)
-            scores.append(np.add.reduceat(value[np.searchsorted(keys, found)][where], np.cumsum(lengths) - lengths))
-        ends = np.cumsum(sizes)[:-1]
-        return pa.table({"block": pa.array(blocks, pa.int64()), "scores": pa.array([x.tobytes() for x in np.split(np.concatenate(scores), ends)], pa.binary())})
-
-    asked = texts.select("block", "texts").mapInArrow(ask, _ASKED)
-    known = counted.select("part", F.lit(None).cast("long").alias("asks"), "n", "blob")
-    dealt = known.unionByName(asked).repartition("part").sortWithinPartitions("part", F.col("asks").asc_nulls_first())
-    answered = dealt.mapInArrow(answer, "block long, part int, found binary")
-    return texts.groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(score, "block long, scores binary")
-
-
-#: Rows have either words, trained and docs of a block, or the texts of some blocks, of which each has a size in documents.
-_BLOCKS = "block long, words array<binary>, trained array<long>, docs binary, blocks array<long>, sizes array<long>, texts binary"
-
-
-class _Block:
-    """Documents as word numbers: what the base's score needs of them."""
-
-    def __init__(self):
-        self.words: dict[bytes, int] = {}
-        self.doc_ids, self.held, self.tokens, self.sizes, self.texts = [], [], [], [], []
-        self.number, self.times = [], []
-        self.n = self.n_bytes = 0
-
-    def put(self, doc_id, held, text: bytes) -> None:
-        words = text.translate(_LOWER).split()
-        counted = Counter(words)
-        number = self.words
-        self.number += [number.setdefault(w, len(number)) for w in counted]
-        self.times += counted.values()
-        self.doc_ids.append(doc_id)
-        self.held.append(held)
-        self.tokens.append(len(words) + 1)
-        self.sizes.append(len(counted))
-        self.texts.append(text)
-        self.n += len(words)
-        self.n_bytes += len(text)
-
-    def row(self, block: int) -> pa.RecordBatch:
-        sizes, number, times = (np.array(x, dtype="<u4") for x in (self.sizes, self.number, self.times))
-        held = np.array(self.held, dtype=bool)
-        train = np.repeat(~held, sizes)
-        trained = np.bincount(number[train], weights=times[train], minlength=len(self.words)).astype(np.int64)
-        ids = np.array([d or 0 for d in self.doc_ids], dtype="<i8")
-        there = np.array([d is not None for d in self.doc_ids], dtype=bool)
-        body = [np.array([len(ids), len(number)], "<u8"), ids, there, held, np.array(self.tokens, "<u4"), sizes, *number.view("u1").reshape(-1, 4).T, *times.view("u1").reshape(-1, 4).T]
-        blob = zstandard.ZstdCompressor(level=3).compress(b"".join([np.ascontiguousarray(x).tobytes() for x in body]))
-        return pa.RecordBatch.from_pydict(
-            {"block": [block], "words": [list(self.words)], "trained": [trained.tolist()], "docs": [blob], "blocks": [None], "sizes": [None], "texts": [None]}, schema=_BLOCK_SCHEMA
-        )
-
-
-_BLOCK_SCHEMA = pa.schema([("block", pa.int64()), ("words", pa.list_(pa.binary())), ("trained", pa.list_(pa.int64())), ("docs", pa.binary()), ("blocks", pa.list_(pa.int64())), ("sizes", pa.list_(pa.int64())), ("texts", pa.binary())])
-
-
-def _text_row(held: list[tuple[int, list[bytes]]]) -> pa.RecordBatch:
-    """The texts of blocks; none has the byte that ends each."""
-    blob = zstandard.ZstdCompressor(level=3).compress(b"".join([t + b"\xff" for _, texts in held for t in texts]))
-    sizes = [len(texts) for _, texts in held]
-    return pa.RecordBatch.from_pydict({"block": [held[0][0]], "words": [None], "trained": [None], "docs": [None], "blocks": [[b for b, _ in held]], "sizes": [sizes], "texts": [blob]}, schema=_BLOCK_SCHEMA)
-
-
-def _opened(blob: bytes):
-    """doc_ids, held, tokens, sizes, numbers, times of a block's documents."""
-    raw = zstandard.ZstdDecompressor().decompress(blob)
-    n, pairs = np.frombuffer(raw, "<u8", 2).tolist()
-    at, out = 16, []
-    for kind, size in (("<i8", 8), ("?", 1), ("?", 1), ("<u4", 4), ("<u4", 4)):
-        out.append(np.frombuffer(raw, kind, n, at))
-        at += size * n
-    planes = np.frombuffer(raw, "u1", 8 * pairs, at).reshape(2, 4, pairs)
-    return *out, *(np.ascontiguousarray(p.T).view("<u4").ravel() for p in planes)
+    known = counted.select("part", F.lit(None).cast("long").alias("block"), "blob")
+    dealt = known.unionByName(asks.where("not words").select("part", "block", "blob"))
+    return dealt.repartition("part").sortWithinPartitions("part", F.col("block").asc_nulls_first()).mapInArrow(answer, _ANSWERS)
 
 
-_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+def answered_words(asks: DataFrame) -> DataFrame:
+    """The corpus counts of the words of every ask; and for each part a row without block, with the sum of its counts and how many are not 0."""
 
+    def answer(table: pa.Table) -> pa.Table:
+        lists, counts = [], []
+        for blob in table.column("blob"):
+            raw = zstandard.ZstdDecompressor().decompress(blob.as_buffer())
+            n = int.from_bytes(raw[:8], "little")
+            counts.append(_from_planes(raw, n, 8))
+            lists.append(pc.split_pattern(pa.array([raw[8 + 8 * n :]], pa.large_binary()), " ").flatten())
+        numbered = pa.concat_arrays(lists).dictionary_encode()
+        at = numbered.indices.to_numpy()
+        total = np.zeros(len(numbered.dictionary), np.uint64)
+        np.add.at(total, at, np.concatenate(counts))
+        found = np.split(total[at], np.cumsum([len(c) for c in counts])[:-1])
+        blocks, n = table.column("block").to_pylist(), table.num_rows
+        blobs = [_zipped(_planes(x)) for x in found]
+        part = [table.column("part")[0].as_py()] * (n + 1)
+        return pa.Table.from_batches([_rows(_ANSWERS, part=part, block=[*blocks, None], words=[True] * (n + 1), blob=[*blobs, b""], n=[0] * n + [int(total.sum())], kinds=[0] * n + [int((total > 0).sum())])])
 
-def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int = DEPTH) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every document."""
-    rows = text_rows(docs, (remainder(F.col("doc_id"), modulus) == held).alias("held_out"))
-    counted_runs = stage(count_runs(rows.where("not held_out"), depth), "runs")
+    return asks.where("words").select("part", "block", "blob").groupBy("part").applyInArrow(answer, _ANSWERS)
 
-    def make(batches):
-        block, k, waiting = _Block(), 0, []
-        base = TaskContext.get().partitionId() << 24
 
-        def close():
-            yield block.row(base + k)
-            waiting.append((base + k, block.texts))
-            if sum(len(t) for _, texts in waiting for t in texts) >= BLOCK_BYTES:
-                yield _text_row(waiting)
-                waiting.clear()
+_SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
 
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                columns = batch.slice(at, 256).to_pydict()
-                texts = [t.encode("utf-8", "replace") for t in columns["text"]]
-                for x in zip(columns["doc_id"], columns["held_out"], texts, strict=True):
-                    block.put(*x)
-                    if len(block.words) >= BLOCK_WORDS or block.n >= BLOCK_TOKENS or block.n_bytes >= BLOCK_BYTES:
-                        yield from close()
-                        block, k = _Block(), k + 1
-        if block.sizes:
-            yield from close()
-        if waiting:
-            yield _text_row(waiting)
-
-    blocks = stage(rows.mapInArrow(make, _BLOCKS), "blocks")
-    scores = stage(score_blocks(blocks, counted_runs, depth), "scores")
-    release_shuffles(docs.sparkSession)
-    words = blocks.where("docs is not null").select("block", F.posexplode(F.arrays_zip("words", "trained")).alias("i", "w")).select("block", "i", F.col("w.words").alias("word"), F.col("w.trained").alias("n"))
-    same = Window.partitionBy("word")
-    # A word has one row a block, so a frequent one has no more rows than there are blocks.
-    counted = stage(words.select("block", "i", F.sum("n").over(same).alias("c"), (F.row_number().over(same.orderBy("block")) == 1).alias("first")), "word-counts")
-    n_words, kinds = counted.where("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.when(F.col("c") > 0, 1))).first()
-    ends = rows.where("not held_out").count()
+
+def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int = DEPTH) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and bits_per_byte of every document."""
+    if not TOP < depth < 8:
+        raise ValueError(f"a run of depth + 1 bytes is one 64-bit integer, and a part has orders from {TOP} on")
+    rows, parts = text_rows(docs, (remainder(F.col("doc_id"), modulus) == held).alias("held_out")), _parts(docs)
+    blocks = stage(gathered(rows), "blocks")
+    asks = stage(asked(blocks, depth, parts), "asks")
+    runs = answered_runs(asks, stage(counted_runs(asks), "runs"), depth)
+    words = stage(answered_words(asks), "words")
+    n_words, kinds = words.where("block is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
+    ends = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
     total, distinct = n_words + ends, kinds + (ends > 0)
 
-    def base(left: pa.Table, right: pa.Table) -> pa.Table:
-        ids, there, held_out, tokens, sizes, number, times = _opened(left.column("docs")[0].as_buffer())
-        c = np.zeros(right.num_rows, dtype=np.int64)
-        c[right.column("i").to_numpy()] = right.column("c").to_numpy()
-        of = np.repeat(np.arange(len(ids)), sizes)
-        log = np.log10((c + 1) / (total + distinct + 1)) if len(c) else np.zeros(0)
-        score = np.bincount(of, weights=times * log[number], minlength=len(ids)) + np.log10((ends + 1) / (total + distinct + 1))
-        known = np.bincount(of, weights=times * (c[number] > 0), minlength=len(ids)).astype(np.int64) + (ends > 0)
-        return pa.table(
-            {
-                "doc_id": pa.array(ids, mask=~there),
-                "held_out": pa.array(held_out),
-                "n_tokens": pa.array(tokens.astype(np.int64)),
-                "n_known": pa.array(known),
-                "train_tokens": pa.array(np.full(len(ids), total, dtype=np.int64)),
-                "base_score": pa.array(score),
-                "score": pa.array(np.frombuffer(left.column("scores")[0].as_buffer(), "<f8")),
-            }
-        )
-
-    return blocks.where("docs is not null").select("block", "docs").join(scores, "block").groupBy("block").cogroup(counted.select("block", "i", "c").groupBy("block")).applyInArrow(base, _SCORED)
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        texts, ids = _texts(left.column("texts")[0].as_buffer()), np.frombuffer(left.column("ids")[0].as_buffer(), "<i8")
+        there, held_out = (np.frombuffer(left.column(c)[0].as_buffer(), dtype=bool) for c in ("there", "held"))
+        by_part = {(w, p): b.as_buffer() for w, p, b in zip(right.column("words").to_pylist(), right.column("part").to_pylist(), right.column("blob"), strict=True)}
+
+        def back(part: np.ndarray, is_words: bool, read) -> np.ndarray:
+            """The parts' answers, in the order in which this block asked."""
+            order, edges = _dealt(part, parts)
+            out = np.empty(len(part))
+            own = [read(by_part[is_words, k], edges[k + 1] - edges[k]) for k in np.flatnonzero(np.diff(edges)).tolist()]
+            out[order] = np.concatenate(own) if own else 0
+            return out
+
+        held_runs = []
+        for group in pieces(texts):
+            runs, sizes = runs_of(group, depth)
+            numbered = pa.array(runs).dictionary_encode()
+            held_runs.append((numbered.dictionary.to_numpy(), numbered.indices.to_numpy(), sizes))
+        keys = _sum(*[np.concatenate([k for k, _, _ in held_runs])] * 2)[0]
+        value = back(_part_of_runs(keys, parts), False, lambda b, n: np.frombuffer(b, "<f4", n))
+        scores = [np.add.reduceat(value[np.searchsorted(keys, own)][number], np.cumsum(sizes) - sizes) for own, number, sizes in held_runs]
+        words = _Words(texts)
+        c = back(_part_of_words(words.distinct, parts), True, lambda b, n: _from_planes(zstandard.ZstdDecompressor().decompress(b), n)).astype(np.int64)
+        log, n = np.log10((c + 1) / (total + distinct + 1)), len(texts)
+        base = np.bincount(words.text, weights=log[words.number], minlength=n) + np.log10((ends + 1) / (total + distinct + 1))
+        known = np.bincount(words.text, weights=c[words.number] > 0, minlength=n).astype(np.int64) + (ends > 0)
+        score = np.concatenate(scores)
+        bits = -score / np.log10(2) / np.maximum([len(t) for t in texts], 1)
+        columns = [pa.array(ids, mask=~there), held_out, np.bincount(words.text, minlength=n) + 1, known, np.full(n, total), base, score, bits]
+        return pa.table(dict(zip([x.split(" ")[0] for x in _SCORED.split(", ")], map(pa.array, columns), strict=True)))
+
+    answers = runs.unionByName(words.where("block is not null")).select("block", "part", "words", "blob")
+    return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, _SCORED)

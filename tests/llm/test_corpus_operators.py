@@ -79,16 +79,58 @@ def test_probabilities_sum_to_one_and_texts_are_ranked():
     assert np.allclose(scorer.score([b"the cat sat", b"the cat sat"]), [a, a])
 
 
-def test_depth_follows_the_bound(spark):
-    texts = docs(spark).select("text")
-    deep, shallow = ctw.fit(texts), ctw.fit(texts, most_runs=150)
-    assert deep.depth == 4 and shallow.depth < 4
-    direct, n = np.unique(ctw.runs_of([(t or "").encode() for _, t in TEXTS], shallow.depth)[0], return_counts=True)
-    again = ctw.ContextTree.grow(direct, n.astype(float), shallow.depth)
-    assert all(np.allclose(x, y) for a, b in zip(shallow.orders, again.orders, strict=True) for x, y in zip(a, b, strict=True))
-
-
-def test_depth_is_the_same_for_every_input_and_shards_change_no_score(spark, monkeypatch):
+def log10_by_hand(trained, text, depth):
+    """A text's log10 probability after the definition: at each bit, every node on the context's path mixes its own
+    estimate with what is below it, by how well each has explained the training bits."""
+    mark = lambda t: b"\xff" * depth + t + b"\xff"
+    events: dict = {}
+    for t in map(mark, trained):
+        for i in range(depth, len(t)):
+            for k in range(8):
+                events.setdefault((k, t[i] >> (8 - k)), []).append((t[i - depth : i], t[i] >> (7 - k) & 1))
+
+    def chance(bits, context, d):
+        """P(1) at the node d deep, and the node's weighted log probability of its training bits."""
+        kt = log_kt(sum(1 - b for _, b in bits), sum(b for _, b in bits))
+        own = (sum(b for _, b in bits) + 0.5) / (len(bits) + 1)
+        if d == depth:
+            return own
+        below = [x for x in bits if x[0][depth - 1 - d] == context[depth - 1 - d]]
+        children = sum(weighted([x for x in bits if x[0][depth - 1 - d] == s], depth, d + 1) for s in {c[depth - 1 - d] for c, _ in bits})
+        if not below:  # no training text went this way
+            return own
+        w = 1 / (1 + math.exp(children - kt))
+        return w * own + (1 - w) * chance(below, context, d + 1)
+
+    total, t = 0.0, mark(text)
+    for i in range(depth, len(t)):
+        for k in range(8):
+            bits = events.get((k, t[i] >> (8 - k)), [])
+            p = chance(bits, t[i - depth : i], 0) if bits else 0.5
+            total += math.log10(p if t[i] >> (7 - k) & 1 else 1 - p)
+    return total
+
+
+def test_scores_of_whole_texts_by_the_definition(spark):
+    rows = [(i, f"cab ab{'ra' * (i % 4)} é{i % 3}\nabc") for i in range(14)] + [(40, ""), (41, None), (None, "abracad"), (42, "zz top")]
+    trained = [(t or "").encode() for i, t in rows if zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2]
+    for depth in (3, 5):
+        got = {r.doc_id: r for r in ctw.score_documents(docs(spark, rows), depth=depth).collect()}
+        for i, t in rows:
+            expected = log10_by_hand(trained, (t or "").encode(), depth)
+            assert math.isclose(got[i].score, expected, rel_tol=1e-5, abs_tol=1e-4)
+            assert math.isclose(got[i].bits_per_byte, -expected * math.log2(10) / max(1, len((t or "").encode())), rel_tol=1e-4)
+
+
+def test_blocks_change_no_score(spark, monkeypatch):
+    rows = [*TEXTS, *((300 + i, f"words {i * i} more{i} words " * (i % 9)) for i in range(40))]
+    result = lambda: sorted((str(r.doc_id), r.n_known, round(r.base_score, 6), round(r.score, 3)) for r in ctw.score_documents(docs(spark, rows).repartition(2)).collect())
+    whole = result()
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 900)
+    assert result() == whole
+
+
+def test_depth_is_the_same_for_every_input_and_shards_change_no_score(spark):
     rng = np.random.default_rng(5)
     noise = [(200 + i, bytes(rng.integers(33, 127, 3000, dtype=np.uint8)).decode()) for i in range(30)]
     rows = [*TEXTS, *noise]
@@ -96,7 +138,6 @@ def test_depth_is_the_same_for_every_input_and_shards_change_no_score(spark, mon
     own, counts = np.unique(ctw.runs_of([(t or "").encode() for i, t in rows if not held(i)], 5)[0], return_counts=True)
     scorer = ctw.Scorer(ctw.ContextTree.grow(own, counts.astype(float), 5))
     expected = sorted((str(i), round(scorer.score([(t or "").encode()])[0], 2)) for i, t in rows)
-    monkeypatch.setattr(ctw, "MOST_RUNS", 1000)
     got = sorted((str(r.doc_id), r.score) for r in ctw.score_documents(docs(spark, rows).repartition(3)).collect())
     assert [i for i, _ in got] == [i for i, _ in expected]
     assert np.allclose([x for _, x in got], [x for _, x in expected], rtol=1e-5, atol=0.02)

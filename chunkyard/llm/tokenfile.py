@@ -40,11 +40,11 @@ from chunkyard.llm.common import map_slices, scratch_path, slices, stage, text_r
 
 END_ID = 2
 #: Entries in each of the two generations of a worker's memory of encoded chunks.
-REMEMBERED_CHUNKS = 300_000
+REMEMBERED_CHUNKS = 400_000
 REMEMBERED_CHARS = 200
 #: Documents whose chunks are looked up together, and their bytes.
 SLICE_DOCS = 16384
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 24 << 20
 #: Bytes of frames that a reader of all documents takes at once.
 READ_BYTES = 8 << 20
 

@@ -64,6 +64,14 @@ def slices(batch: pa.RecordBatch, rows: int = SLICE_ROWS, most: int = SLICE_BYTE
         at = upto
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken or not name.startswith("_"):
+        name = "_" + name
+    return name
+
+
 def map_slices(df: DataFrame, schema: T.StructType, start: Callable[[], Callable[[dict], dict]], rows: int = SLICE_ROWS) -> DataFrame:
     """Run ``start()`` once in each task; it returns the function from a slice's columns to the output's columns."""
     arrow = to_arrow_schema(schema)

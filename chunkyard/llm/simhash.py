@@ -5,11 +5,11 @@ bits.  So every distinct fingerprint emits all variants within r = 2 bits (2,081
 shuffled, and fingerprints that meet at a variant are verified.  All that meet at one variant are
 linked to each other already, so each is joined to one of them only, never all pairs.
 
-What is shuffled is packed: a block of fingerprints sorts the hashes of its variants and deals them
-by leading bits into buckets; a bucket gets, from each block, the sorted hashes as low bytes and
-counts per cell, and for each the place of its fingerprint in the block: 3.3 bytes a variant.
-The width of the hashes grows with the logarithm of the number of variants, which keeps those that
-meet by chance rare; verification removes them, and no true meeting is lost.
+What is shuffled is packed by families: a variant goes to the bucket of its first half, and all of a
+fingerprint's variants that have one first half (529, 33 or 1 of them, as 0, 1 or 2 of its flips are
+there) are written as the fingerprint and the number of the family, and made again in the bucket.
+That is 529 entries of 8 bytes and a number that packs to almost nothing, or 2.1 bytes a variant, at
+every size of the corpus; no block sends anything to a bucket but its own entries.
 
 Components come from alternating large-star and small-star steps over the links (a DataFrame each,
 written to the shared folder), in a logarithmic number of rounds.
@@ -22,8 +22,6 @@ by ``drop_near_duplicates``).
 
 from __future__ import annotations
 
-import gc
-import time
 from itertools import accumulate, combinations
 
 import numpy as np
@@ -34,24 +32,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkyard.llm.common import map_slices, stage, text_rows
+from chunkyard.llm.common import free_name, map_slices, stage, text_rows
 
 SHINGLE_WORDS = 4
 SEED = 42
 BITS = 64
 RADIUS = 2
-#: Fingerprints whose variants are made and sorted at once; a place in a block takes one byte.
-BLOCK = 256
-#: Fingerprints whose variants a task makes, about.
+#: Bits of each half of a fingerprint.
+HALF = BITS // 2
+#: Fingerprints whose variants are packed at once.
+BLOCK = 4096
+#: Fingerprints whose variants a task packs, about.
 TASK_FINGERPRINTS = 32_768
-#: Variants that one bucket gets on average, at most; it holds seven bytes for each.
-BUCKET_VARIANTS = 1 << 24
-#: Variants of a bucket that are sorted together, about.
+#: Variants that one bucket gets on average, at most.
+BUCKET_VARIANTS = 1 << 23
+#: Variants of a bucket that are made and sorted together, about.
 RANGE_VARIANTS = 1 << 20
-#: Groups of up to so many fingerprints are compared pair by pair, as chance meetings make them.
-SMALL_GROUP = 4
-#: Hashes are wider than the count of all variants by so many bits.
-SPARE_BITS = 6
+#: Copies of a small side's rows, over which a node with very many links is spread in a join.
+SALTS = 16
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _FINGERPRINT = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
 _KEYED = T.StructType([*_FINGERPRINT.fields, T.StructField("_key", T.BinaryType())])
@@ -112,46 +110,40 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values
 
 
-def layout(n_fingerprints: int) -> tuple[int, int]:
-    """Bits of a variant's hash that are kept, and how many of them name its bucket."""
-    variants = max(1, n_fingerprints) * len(ball_masks())
-    bucket_bits = max(0, (variants // BUCKET_VARIANTS).bit_length())
-    return max(variants.bit_length() + SPARE_BITS, bucket_bits + 17), bucket_bits
+def families() -> list[tuple[int, int]]:
+    """What to flip in the first half for every variant's first half, with how many flips are left for the second half."""
+    return [(sum(1 << (b + HALF) for b in flips), RADIUS - r) for r in range(RADIUS + 1) for flips in combinations(range(HALF), r)]
 
 
-def pack_block(fps: np.ndarray, hash_bits: int, bucket_bits: int) -> list[tuple[int, bytes]]:
-    """A block's variants for every bucket."""
-    keys = mixed((fps[:, None] ^ ball_masks()[None, :]).ravel())
-    keys >>= np.uint64(64 - hash_bits)
-    keys <<= np.uint64(8)
-    keys |= np.repeat(np.arange(len(fps), dtype=np.uint64), len(ball_masks()))
-    keys.sort()
-    rest_bits = hash_bits - bucket_bits
-    edges = np.searchsorted(keys, np.arange(1 << bucket_bits, dtype=np.uint64) << np.uint64(rest_bits + 8))
+def second_masks(left: int) -> np.ndarray:
+    return np.array([sum(1 << b for b in flips) for r in range(left + 1) for flips in combinations(range(HALF), r)], dtype=np.uint64)
+
+
+def buckets_of(n_fingerprints: int) -> int:
+    """As many buckets as keep each one's variants to BUCKET_VARIANTS on average."""
+    return 1 << max(0, n_fingerprints * len(ball_masks()) // BUCKET_VARIANTS).bit_length()
+
+
+def pack_block(fps: np.ndarray, buckets: int) -> list[tuple[int, bytes]]:
+    """A block's variants for every bucket: the fingerprints of each family whose first half belongs there, family by family."""
+    flips = np.array([f for f, _ in families()], dtype=np.uint64)
+    first = ((fps[None, :] ^ flips[:, None]) >> np.uint64(HALF)).ravel()
+    bucket = (mixed(first) >> np.uint64(BITS - 31)).astype(np.int64) & (buckets - 1)
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
+    bucket = bucket[order]
+    starts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
     zip_, out = zstandard.ZstdCompressor(level=1), []
-    for bucket, (a, b) in enumerate(zip(edges.tolist(), [*edges.tolist()[1:], len(keys)], strict=True)):
-        hashes = (keys[a:b] >> np.uint64(8)) & np.uint64((1 << rest_bits) - 1)
-        cells = np.bincount((hashes >> np.uint64(16)).astype(np.int64), minlength=1 << (rest_bits - 16))
-        cells = cells.astype("u1") if cells.max(initial=0) < 256 else cells.astype("<u4")
-        body = b"".join([fps.astype("<u8").tobytes(), cells.tobytes(), hashes.astype("<u2").tobytes(), keys[a:b].astype("u1").tobytes()])
-        head = np.array([len(fps), cells.itemsize, len(cells), b - a], dtype="<u4").tobytes()
-        out.append((bucket, zip_.compress(head + body)))
+    for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(order)], strict=True):
+        family, place = np.divmod(order[a:b], len(fps))
+        out.append((int(bucket[a]), zip_.compress(fps[place].astype("<u8").tobytes() + family.astype("<u2").tobytes())))
     return out
 
 
-def unpack(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The hashes (within the bucket, sorted), the places of their fingerprints, and the block's fingerprints."""
+def unpack(blob) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints and the number of the family of each."""
     raw = zstandard.ZstdDecompressor().decompress(blob)
-    n_fps, item, n_cells, n = np.frombuffer(raw, "<u4", 4).tolist()
-    at = 16
-    fps = np.frombuffer(raw, "<u8", n_fps, at)
-    at += 8 * n_fps
-    cells = np.frombuffer(raw, "u1" if item == 1 else "<u4", n_cells, at)
-    at += item * n_cells
-    low = np.frombuffer(raw, "<u2", n, at)
-    places = np.frombuffer(raw, "u1", n, at + 2 * n)
-    kind = np.uint32 if n_cells <= 1 << 16 else np.uint64
-    return (np.repeat(np.arange(n_cells, dtype=kind), cells) << kind(16)) | low, places, fps
+    n = len(raw) // 10
+    return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u2", n, 8 * n)
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,60 +164,81 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return values[own], values[label[own]]
 
 
-def meet(hashes: np.ndarray, fps: np.ndarray, most_bits: int = 2 * RADIUS) -> tuple[np.ndarray, np.ndarray]:
-    """Links among the fingerprints that share a hash, verified; enough of them to join all that are linked."""
-    n = len(hashes)
-    keys = np.sort((hashes << np.uint64(32)) | np.arange(n, dtype=np.uint64))
-    order, hashes = (keys & np.uint64(0xFFFFFFFF)).astype(np.int64), keys >> np.uint64(32)
-    same = hashes[1:] == hashes[:-1]
-    shared = np.zeros(n, dtype=bool)
-    shared[1:] |= same
-    shared[:-1] |= same
-    hashes, fps = hashes[shared], fps[order[shared]]
-    if not len(fps):
-        return fps, fps
+def meet(variants: np.ndarray, fps: np.ndarray, most_bits: int = 2 * RADIUS) -> tuple[np.ndarray, np.ndarray]:
+    """Links among the fingerprints that share a variant, verified; enough of them to join all that are linked."""
+    ordered = np.sort(variants)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(again):
+        return again, again
+    # Which variants are shared: by a table of bits, then exactly among the few that are left.
+    bits = min(24, len(again).bit_length() + 6)
+    seen = np.zeros(1 << bits, dtype=bool)
+    seen[(mixed(again) >> np.uint64(64 - bits)).astype(np.int64)] = True
+    shared = seen[(mixed(variants) >> np.uint64(64 - bits)).astype(np.int64)]
+    hashes, fps = variants[shared], fps[shared]
     order = np.lexsort([fps, hashes])
     hashes, fps = hashes[order], fps[order]
     first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
     sizes = np.diff(np.append(first, len(fps)))
-    size_of, center = np.repeat(sizes, sizes), np.repeat(fps[first], sizes)
-    linked = lambda x, y: (np.bitwise_count(x ^ y) <= most_bits) & (x != y)
-    near = linked(fps, center)
-    a, b = [fps[near]], [center[near]]
-    for k in range(1, SMALL_GROUP):
-        pair = (hashes[k:] == hashes[:-k]) & (size_of[k:] <= SMALL_GROUP)
-        pair[pair] = linked(fps[k:][pair], fps[:-k][pair])
-        a.append(fps[k:][pair])
-        b.append(fps[:-k][pair])
-    group = np.repeat(np.arange(len(first)), sizes)
-    for i in np.flatnonzero(~near & (fps != center) & (size_of > SMALL_GROUP)).tolist():  # met by chance where many meet: against all of them
-        others = fps[first[group[i]] : first[group[i]] + sizes[group[i]]]
-        others = others[linked(others, fps[i])]
-        a.append(np.full(len(others), fps[i]))
-        b.append(others)
-    return np.concatenate(a), np.concatenate(b)
-
-
-def meet_in_bucket(blobs: list, rest_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The links of a bucket, one range of hashes after another."""
-    parts = [unpack(b) for b in blobs]
-    total = sum(len(h) for h, _, _ in parts)
-    bits = min(max(0, (total // RANGE_VARIANTS).bit_length()), rest_bits)
+    center = np.repeat(fps[first], sizes)
+    near = (np.bitwise_count(fps ^ center) <= most_bits) & (fps != center)
+    return fps[near], center[near]
+
+
+def variants_of(fps: np.ndarray, family: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All variants of these families, and the fingerprint of each."""
+    flips, left = (np.array(x, dtype=np.uint64) for x in zip(*families(), strict=True))
+    made, whose = [], []
+    for k in range(RADIUS + 1):
+        own = fps[left[family] == k]
+        first, masks = own ^ flips[family[left[family] == k]], second_masks(k)
+        made.append((first[:, None] ^ masks[None, :]).ravel())
+        whose.append(np.repeat(own, len(masks)))
+    return np.concatenate(made), np.concatenate(whose)
+
+
+def meet_in_bucket(blobs: list) -> tuple[np.ndarray, np.ndarray]:
+    """The links of a bucket, one stretch of first halves after another."""
+    fps, family = (np.concatenate(x) for x in zip(*map(unpack, blobs), strict=True))
+    flips, left = (np.array(x, dtype=np.uint64) for x in zip(*families(), strict=True))
+    first = (fps ^ flips[family]) >> np.uint64(HALF)
+    order = np.argsort(first)
+    fps, family, first = fps[order], family[order], first[order]
+    edges = np.append(np.flatnonzero(np.concatenate([[True], first[1:] != first[:-1]])), len(fps))
+    size = np.add.reduceat(np.array([len(second_masks(k)) for k in range(RADIUS + 1)])[left[family].astype(np.int64)], edges[:-1])
+    upto, at = np.cumsum(size), 0
     a, b = np.empty(0, np.uint64), np.empty(0, np.uint64)
-    at = [0] * len(parts)
-    for r in range(1 << bits):
-        upto = [len(h) if r + 1 == 1 << bits else int(np.searchsorted(h, h.dtype.type((r + 1) << (rest_bits - bits)))) for h, _, _ in parts]
-        hashes = np.concatenate([h[i:j] for (h, _, _), i, j in zip(parts, at, upto, strict=True)]).astype(np.uint64)
-        fps = np.concatenate([f[p[i:j]] for (_, p, f), i, j in zip(parts, at, upto, strict=True)])
-        at = upto
-        x, y = meet(hashes, fps)
+    while at < len(size):  # as many first halves as have RANGE_VARIANTS variants, or one
+        after = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + RANGE_VARIANTS, "right")))
+        own = slice(edges[at], edges[after])
+        x, y = _meet_in_stretch(fps[own], family[own], int(upto[after - 1] - upto[at] + size[at]))
+        a, b = forest(np.concatenate([a, x]), np.concatenate([b, y]))
+        at = after
+    return a, b
+
+
+def _meet_in_stretch(fps: np.ndarray, family: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links of fingerprints at variants in common.  One first half that very many have is done in rounds, each over its
+    share of the variants, so that memory stays bounded."""
+    rounds = max(1, -(-total // (4 * RANGE_VARIANTS)))
+    if rounds == 1:
+        return meet(*variants_of(fps, family))
+    a, b = np.empty(0, np.uint64), np.empty(0, np.uint64)
+    step = max(1, RANGE_VARIANTS // len(ball_masks()))
+    for r in range(rounds):
+        kept = []
+        for i in range(0, len(fps), step):
+            v, f = variants_of(fps[i : i + step], family[i : i + step])
+            own = mixed(v) % np.uint64(rounds) == r
+            kept.append((v[own], f[own]))
+        x, y = meet(*(np.concatenate(k) for k in zip(*kept, strict=True)))
         a, b = forest(np.concatenate([a, x]), np.concatenate([b, y]))
     return a, b
 
 
 def links(distinct: DataFrame, count: int) -> DataFrame:
     """a and b for enough pairs of the fingerprints in column fp, a > b, to join all within 2 * RADIUS bits."""
-    hash_bits, bucket_bits = layout(count)
+    buckets = buckets_of(count)
 
     def emit(batches):
         held: list[np.ndarray] = []
@@ -234,18 +247,18 @@ def links(distinct: DataFrame, count: int) -> DataFrame:
             if sum(map(len, held)) >= BLOCK:
                 fps = np.concatenate(held)
                 for at in range(0, len(fps) - BLOCK + 1, BLOCK):
-                    for bucket, blob in pack_block(fps[at : at + BLOCK], hash_bits, bucket_bits):
-                        yield pa.RecordBatch.from_pydict({"bucket": [bucket], "blob": [blob]}, schema=packed)
+                    yield rows(fps[at : at + BLOCK])
                 held = [fps[len(fps) // BLOCK * BLOCK :]]
         fps = np.concatenate(held) if held else np.empty(0, dtype=np.uint64)
         if len(fps):
-            for bucket, blob in pack_block(fps, hash_bits, bucket_bits):
-                yield pa.RecordBatch.from_pydict({"bucket": [bucket], "blob": [blob]}, schema=packed)
+            yield rows(fps)
 
-    packed = pa.schema([("bucket", pa.int32()), ("blob", pa.binary())])
+    def rows(fps: np.ndarray) -> pa.RecordBatch:
+        found = pack_block(fps, buckets)
+        return pa.RecordBatch.from_pydict({"bucket": [k for k, _ in found], "blob": [x for _, x in found]}, schema=pa.schema([("bucket", pa.int32()), ("blob", pa.binary())]))
 
     def join(table: pa.Table) -> pa.Table:
-        a, b = meet_in_bucket([x.as_buffer() for x in table.column("blob")], hash_bits - bucket_bits)
+        a, b = meet_in_bucket([x.as_buffer() for x in table.column("blob")])
         a, b = a.view(np.int64), b.view(np.int64)
         return pa.table({"a": np.maximum(a, b), "b": np.minimum(a, b)})
 
@@ -254,6 +267,14 @@ def links(distinct: DataFrame, count: int) -> DataFrame:
     return dealt.groupBy("bucket").applyInArrow(join, "a long, b long")
 
 
+def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str) -> DataFrame:
+    """An inner join in which a key of ``many`` may have any share of the rows: ``one`` has a row for each key, which is copied
+    to every salt; ``many``'s salt is the hash of ``spread``."""
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_")
+    left = many.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
+    return left.join(one.select("*", salt), [key, "salt_"]).drop("salt_")
+
+
 def components(pairs: DataFrame) -> DataFrame:
     """node and root, the least node reachable, for every node of the pairs but the roots."""
     found = stage(pairs.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
@@ -262,10 +283,10 @@ def components(pairs: DataFrame) -> DataFrame:
     while True:
         both = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = salted_join(both, least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = stage(large, "large-star")
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = salted_join(large, least, "a", "b").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         found = stage(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
         now = mark(found)
         if now == before:
@@ -273,22 +294,11 @@ def components(pairs: DataFrame) -> DataFrame:
         before = now
 
 
-def release_shuffles(spark) -> None:
-    """Shuffle files go when the driver's JVM collects what stood for them; ask for that, as the variants' are large.
-    The pause lets Spark's listeners drop the finished query first."""
-    gc.collect()
-    time.sleep(1)
-    spark.sparkContext._jvm.System.gc()
-
-
 def rooted(marked: DataFrame, first: Column) -> DataFrame:
     """fp, first (the least of its rows') and root, its component's least fingerprint, for every fingerprint."""
-    spark = marked.sparkSession
     distinct = stage(marked.groupBy("fp").agg(F.min(first).alias("first")), "distinct-fingerprints")
     pairs = stage(links(distinct, distinct.count()), "pairs")
-    release_shuffles(spark)
     roots = components(pairs)
-    release_shuffles(spark)
     return distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
 
 
@@ -297,7 +307,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     marked = stage(fingerprints(docs), "fingerprints")
     found = rooted(marked, F.col("doc_id"))
     least = found.groupBy("root").agg(F.min("first").alias("component_id"))
-    return marked.join(found.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    named = salted_join(found, least, "root", "fp").select("fp", "component_id")
+    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
@@ -305,9 +316,10 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     null last, and then of the least fingerprint."""
     # Rows with the same id and text are the same document.  One column for the join and for such rows, so that
     # the texts are shuffled once.
+    name = free_name(docs, "key")
     key = F.unhex(F.sha2(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(" "), F.coalesce("text", F.lit(""))).cast("binary"), 256))
-    keyed = docs.withColumn("_key", key)
-    marked = stage(fingerprints(keyed, "_key", schema=_KEYED), "fingerprints")
+    keyed = docs.withColumn(name, key)
+    marked = stage(fingerprints(docs.select("doc_id", "text", key.alias("_key")), "_key", schema=_KEYED), "fingerprints")
     found = rooted(marked, F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_key"))
-    kept = found.groupBy("root").agg(F.min(F.struct("first.last", "first.doc_id", "fp", "first._key")).alias("kept")).select("kept._key")
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    kept = found.groupBy("root").agg(F.min(F.struct("first.last", "first.doc_id", "fp", "first._key")).alias("kept")).select(F.col("kept._key").alias(name))
+    return keyed.join(kept, name, "left_semi").dropDuplicates([name]).drop(name)

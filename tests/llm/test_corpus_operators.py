@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from pyspark.sql import functions as F
 
 from chunkyard.llm import ctw, simhash
 
@@ -196,7 +197,16 @@ def test_different_texts_under_one_or_no_id_are_all_kept(spark):
     assert {(i, t.lower()) for i, t in kept} == {(None, a), (None, b), (3, c), (7, d)} and len(kept) == 4
 
 
-def test_buckets_link_all_even_when_hashes_collide():
+def test_variants_take_few_bytes_at_every_size():
+    fps = np.random.default_rng(1).integers(0, 2**63, simhash.BLOCK).astype(np.uint64)
+    for corpus in (50_000, 5_000_000, 50_000_000, 5_000_000_000):
+        packed = simhash.pack_block(fps, simhash.buckets_of(corpus))
+        assert sum(len(x) for _, x in packed) / (len(fps) * len(simhash.ball_masks())) < 5
+    made, whose = simhash.variants_of(*simhash.unpack(simhash.pack_block(fps[:1], 1)[0][1]))
+    assert sorted(made.tolist()) == sorted((fps[0] ^ simhash.ball_masks()).tolist()) and set(whose.tolist()) == {int(fps[0])}
+
+
+def test_buckets_link_all_however_they_are_cut(monkeypatch):
     rng = np.random.default_rng(3)
     made = set()
     for base in rng.integers(0, 2**63, 20).tolist():
@@ -207,17 +217,30 @@ def test_buckets_link_all_even_when_hashes_collide():
             made.add(x)
     fps = np.array(sorted(made), dtype=np.uint64)
     expected = components_by_hand(fps.tolist())
-    for hash_bits, bucket_bits in ((19, 2), (26, 2), (38, 1)):
+    for number, block, stretch in ((1, 4096, 1 << 20), (4, 100, 1 << 20), (64, 7, 5000), (512, 300, 600)):
+        monkeypatch.setattr(simhash, "RANGE_VARIANTS", stretch)
         buckets: dict = {}
-        for at in range(0, len(fps), simhash.BLOCK):
-            for bucket, blob in simhash.pack_block(fps[at : at + simhash.BLOCK], hash_bits, bucket_bits):
+        for at in range(0, len(fps), block):
+            for bucket, blob in simhash.pack_block(fps[at : at + block], number):
                 buckets.setdefault(bucket, []).append(blob)
-        met = [simhash.meet_in_bucket(b, hash_bits - bucket_bits) for b in buckets.values()]
+        met = [simhash.meet_in_bucket(b) for b in buckets.values()]
         a, b = simhash.forest(np.concatenate([x for x, _ in met]), np.concatenate([y for _, y in met]))
         found = {f: f for f in fps.tolist()} | dict(zip(a.tolist(), b.tolist(), strict=True))
         assert found == expected
 
 
+def test_any_column_may_clash(spark):
+    rows = spark.createDataFrame([(1, "one two three four five", "a", 1, "s"), (2, "one two three four five", "b", 2, "t"), (3, "else", "c", 3, "u")], "doc_id long, text string, _key string, salt_ int, fp string")
+    kept = simhash.drop_near_duplicates(rows)
+    assert kept.columns == rows.columns and sorted((r.doc_id, r._key, r.salt_, r.fp) for r in kept.collect()) == [(1, "a", 1, "s"), (3, "c", 3, "u")]
+    assert simhash.drop_near_duplicates(rows.limit(0)).count() == 0
+
+
+def test_a_hub_of_very_many_links(spark):
+    pairs = spark.range(1, 20_001).select(F.col("id").alias("a"), F.lit(0).cast("long").alias("b"))
+    assert simhash.components(pairs).groupBy("root").count().collect()[0].asDict() == {"root": 0, "count": 20_000}
+
+
 def test_long_chains_become_one_component(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (5, 5)], "a long, b long")
     roots = {r.node: r.root for r in simhash.components(pairs).collect()}

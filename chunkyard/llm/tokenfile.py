@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkyard.llm.common import map_slices, scratch_path, slices, stage, text_rows
+from chunkyard.llm.common import file_system, map_slices, scratch_path, slices, stage, text_rows
 
 END_ID = 2
 #: Entries in each of the two generations of a worker's memory of encoded chunks.
@@ -193,12 +193,6 @@ def shared_tokenizer(path: str) -> ChunkedTokenizer:
     return ChunkedTokenizer(path)
 
 
-def file_system(path: str):
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-
-
 class FrameWriter:
     """Writes one file; memory holds the index alone."""
 

@@ -116,6 +116,16 @@ def test_many_items_change_no_row(spark):
     assert (None, "clean") in [r[:2] for r in kept(20)] and (20, "clean too") in [r[:2] for r in kept(20)] and (None, hit) not in [r[:2] for r in kept(20)]
 
 
+def test_one_long_item_is_cut_into_shards(spark):
+    words = [f"w{i * i % 1009}x{i}" for i in range(2000)]
+    rows = [(1, " ".join(words)), (1, " ".join(words)), (2, " ".join(words[700:1100]))]
+    more = [(1, " ".join(words[250:270])), (2, " ".join(words[900:907])), (3, " ".join(["a", *words[760:775], "b", *words[-8:]])), (4, ""), (4, None), (None, " ".join(words))]
+    expected = sorted(((i, *contaminated_by_hand(t, rows)) for i, t in more), key=str)
+    for limit in (2000, 1 << 22):
+        assert by_key(decontaminate.find_contamination(docs(spark, more), items(spark, rows), automaton_bytes=limit).drop("spans")) == expected
+    assert decontaminate.find_contamination(docs(spark).limit(0), items(spark, rows)).count() == 0
+
+
 def test_licenses(spark):
     mit = "Copyright (c) 2020 Someone\n\n" + licenses.KNOWN_TEXTS["MIT"].upper().replace(",", " ;")
     isc = licenses.KNOWN_TEXTS["ISC"].replace("software", "  software\n")

@@ -332,6 +332,7 @@ def asked(blocks: DataFrame, depth: int, parts: int) -> DataFrame:
                     own = order[edges[k] : edges[k + 1]]
                     line = b" ".join([words.distinct[i] for i in own.tolist()])
                     yield _rows(_ASKS, part=[k], block=[block], words=[True], blob=[_zipped(len(own).to_bytes(8, "little") + _planes(counts[own]) + line)])
+                pa.default_memory_pool().release_unused()
 
     return blocks.select("block", "held", "texts").mapInArrow(ask, _ASKS)
 
@@ -470,9 +471,12 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int
         log, n = np.log10((c + 1) / (total + distinct + 1)), len(texts)
         base = np.bincount(words.text, weights=log[words.number], minlength=n) + np.log10((ends + 1) / (total + distinct + 1))
         known = np.bincount(words.text, weights=c[words.number] > 0, minlength=n).astype(np.int64) + (ends > 0)
+        tokens = np.bincount(words.text, minlength=n) + 1
         score = np.concatenate(scores)
         bits = -score / np.log10(2) / np.maximum([len(t) for t in texts], 1)
-        columns = [pa.array(ids, mask=~there), held_out, np.bincount(words.text, minlength=n) + 1, known, np.full(n, total), base, score, bits]
+        del held_runs, value, words
+        pa.default_memory_pool().release_unused()
+        columns = [pa.array(ids, mask=~there), held_out, tokens, known, np.full(n, total), base, score, bits]
         return pa.table(dict(zip([x.split(" ")[0] for x in _SCORED.split(", ")], map(pa.array, columns), strict=True)))
 
     answers = runs.unionByName(words.where("block is not null")).select("block", "part", "words", "blob")

@@ -4,27 +4,32 @@ A document is a bag of passages of ``PASSAGE_BYTES`` bytes, over its whole text.
 from counts of byte classes, of pairs of them, and of how many of its four-byte windows are distinct,
 through a learned layer; gated attention (tanh times sigmoid) learns from document labels which
 passages matter, and the document's score is a logistic function of the weighted sum of its passages.
-Everything is trained together by Adam on a sample of at most ``TRAIN_DOCS`` labelled documents of
-each label (and ``TRAIN_PASSAGES`` passages of each), chosen by hash; that is the only bound.
+Everything is trained together by Adam, over every passage of a sample of labelled documents: of each
+label those that come first by hash, at most ``TRAIN_DOCS`` of them and ``TRAIN_BYTES`` of text together.
+That is the only bound; the sample is taken from the labelled documents that the table has.
 
 Edge cases: null and empty text is one passage without bytes and gets a score; a document's labels are
-averaged, a half counts as good; null labels are left out; without labels of both kinds there is
+averaged, a half counts as good; null labels are left out; of several texts under one labelled doc_id the one of
+least hash is learned from; without labels of both kinds there is
 nothing to learn and every score is 0.5; null doc_ids count as empty text for the hold-out and never
-have labels; repeated rows are each scored; other columns are ignored (and kept by ``keep_good``).
+have labels; repeated rows are each scored; an empty table gives no rows; other columns are ignored (and kept by
+``keep_good``).
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkyard.llm.common import map_slices, remainder, text_rows
+from chunkyard.llm.common import map_slices, remainder, slices, text_rows
 
 PASSAGE_BYTES = 512
 TRAIN_DOCS = 1500
-TRAIN_PASSAGES = 64
+#: Bytes of the sample's texts, of each label.
+TRAIN_BYTES = 16 << 20
 LEAST_SCORE = 0.3
 HIDDEN, GATE, EPOCHS, BATCH, RATE, DECAY = 32, 16, 24, 64, 0.01, 1e-4
 #: Bytes whose features are made at once.
@@ -161,25 +166,36 @@ def training_labels(labels: DataFrame, modulus: int = 5) -> DataFrame:
     return known.groupBy("doc_id").agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS, per_document: int = TRAIN_PASSAGES) -> AttentionModel | None:
-    marked = training_labels(labels)
-    chosen = None
+def sample_of(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> DataFrame:
+    """doc_id, text and y of the documents to learn from."""
+    text = F.coalesce("text", F.lit(""))
+    there = docs.select("doc_id", F.struct(F.xxhash64(text).alias("hash"), F.octet_length(text).alias("size")).alias("own")).join(training_labels(labels), "doc_id")
+    there = there.groupBy("doc_id", "y").agg(F.min("own").alias("own")).select("doc_id", "y", "own.*")
+    chosen = []
     for y in (0, 1):  # two bounded top-n, so that no task and no side of the join is larger than the sample
-        part = marked.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label)
-        chosen = part if chosen is None else chosen.unionByName(part)
-    sample = text_rows(docs).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
+        used = 0
+        for r in there.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_label).collect():
+            used += r["size"]
+            if used > most_bytes:
+                break
+            chosen.append((r.doc_id, r.hash, y))
+    small = docs.sparkSession.createDataFrame(chosen, "doc_id long, hash long, y int")
+    kept = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("hash")).join(F.broadcast(small), ["doc_id", "hash"])
+    return kept.dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
+
+
+def fit(docs: DataFrame, labels: DataFrame, per_label: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> AttentionModel | None:
+    sample = sample_of(docs, labels, per_label, most_bytes)
 
     def start():
         def step(columns: dict) -> dict:
             x, counts = encode(columns["text"])
-            bags = np.split(x, np.cumsum(counts)[:-1])
-            spread = [b[np.linspace(0, len(b) - 1, min(len(b), per_document)).astype(int)] for b in bags]
-            return {"doc_id": columns["doc_id"], "y": columns["y"], "bag": [b.tobytes() for b in spread]}
+            return {"doc_id": columns["doc_id"], "y": columns["y"], "bag": [b.tobytes() for b in np.split(x, np.cumsum(counts)[:-1])]}
 
         return step
 
     schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("bag", T.BinaryType())])
-    rows = sorted(map_slices(sample.select("doc_id", "text", "y"), schema, start).collect())
+    rows = sorted(map_slices(sample, schema, start).toLocalIterator())
     y = np.array([r.y for r in rows], dtype=float)
     if len(set(y.tolist())) < 2:
         return None
@@ -209,11 +225,8 @@ def keep_good(docs: DataFrame, model: AttentionModel | None, least: float = LEAS
     at = docs.columns.index("text")
 
     def keep(batches):
-        import pyarrow as pa
-
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
+            for part in slices(batch):
                 scores = scores_of(shipped.value, [t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array([s >= least for s in scores], pa.bool_()))
 

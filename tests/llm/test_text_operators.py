@@ -1,4 +1,5 @@
 """Operators that read one text at a time, against brute force and against the libraries."""
+import math
 import re
 import struct
 import zlib
@@ -253,6 +254,50 @@ def test_quality_learns_and_scores_everything(spark):
     assert attention.training_labels(labels).where("crc32(cast(cast(doc_id as string) as binary)) % 5 = 0").count() == 0
 
 
+def test_every_passage_of_the_sample_is_learned_from(spark):
+    rows = [(1, "a" * 512 * 200), (2, "b"), (2, "c"), (3, ""), (4, None), (6, "d"), (7, "e" * 900), (None, "f")]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(1, 60)], "doc_id long, quality int, toxic int")
+    sample = attention.sample_of(docs(spark, rows), labels)
+    assert {r.doc_id: len(r.text) for r in sample.collect()} == {1: 512 * 200, 2: 1, 3: 0, 4: 0, 7: 900} and sample.count() == 5  # 6 is held out
+    assert {r.doc_id for r in attention.sample_of(docs(spark, rows), labels, most_bytes=1000).collect()} >= {2, 4}
+    assert 1 not in {r.doc_id for r in attention.sample_of(docs(spark, rows), labels, most_bytes=1000).collect()}
+    assert len({r.text for _ in range(3) for r in attention.sample_of(docs(spark, rows).repartition(3), labels).where("doc_id = 2").collect()}) == 1
+    assert attention.fit(docs(spark).limit(0), labels) is None and attention.score_documents(docs(spark).limit(0), None).count() == 0
+
+
+def test_gradients_and_attention_by_hand():
+    rng = np.random.default_rng(2)
+    counts, y, importance = np.array([3, 1, 4]), np.array([1.0, 0.0, 1.0]), np.array([1.0, 2.0, 0.5])
+    x = rng.normal(size=(8, attention.N_FEATURES))
+    shape = {"w1": (attention.N_FEATURES, 5), "b1": (5,), "v": (5, 3), "u": (5, 3), "a": (3,), "c": (5,), "b": (1,)}
+    model = attention.AttentionModel(0, 1, {k: rng.normal(0, 0.3, s) for k, s in shape.items()})
+    w = model.weights
+
+    def logits():
+        out = []
+        for bag in np.split(x, np.cumsum(counts)[:-1]):
+            h = [np.maximum(p @ w["w1"] + w["b1"], 0) for p in bag]
+            e = np.array([sum(w["a"][j] * math.tanh(v @ w["v"][:, j]) / (1 + math.exp(-(v @ w["u"][:, j]))) for j in range(3)) for v in h])
+            share = np.exp(e) / np.exp(e).sum()
+            out.append(float(sum(s * v for s, v in zip(share, h, strict=True)) @ w["c"] + w["b"][0]))
+        return np.array(out)
+
+    def loss():
+        p = 1 / (1 + np.exp(-logits()))
+        return -(importance * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / len(y)
+
+    assert np.allclose(model._forward(x, counts)[-1], logits())
+    for name, g in model.gradients(x, counts, y, importance).items():
+        for at in [np.unravel_index(i, g.shape) for i in rng.integers(0, g.size, 6)]:
+            kept, step = w[name][at], 1e-6
+            w[name][at] = kept + step
+            up = loss()
+            w[name][at] = kept - step
+            down = loss()
+            w[name][at] = kept
+            assert math.isclose(g[at], (up - down) / (2 * step), rel_tol=1e-3, abs_tol=1e-7)
+
+
 def test_passages_are_encoded_alike_wherever_they_stand():
     whole, counts = attention.encode(["", "q" * 700, "The cat sat on. " * 300_000])
     alone, _ = attention.encode(["The cat sat on. " * 64])

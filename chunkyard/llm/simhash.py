@@ -272,7 +272,7 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, spread: str) -> DataF
     to every salt; ``many``'s salt is the hash of ``spread``."""
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt_")
     left = many.withColumn("salt_", F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int"))
-    return left.join(one.select("*", salt), [key, "salt_"]).drop("salt_")
+    return left.join(one.select("*", salt).hint("merge"), [key, "salt_"]).drop("salt_")
 
 
 def components(pairs: DataFrame) -> DataFrame:

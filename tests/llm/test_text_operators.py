@@ -217,6 +217,50 @@ def test_personal_data(spark):
     assert clean[2].text is None and clean[1].text == TEXTS[0][1] and clean[8].score == "s"
 
 
+def test_trees_as_an_expression_are_the_fitted_trees(spark):
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    made = pii.made_texts(spark, 400).select("label", "family", F.explode(pii.candidates(F.col("text"))).alias("c")).select("label", "family", "c", "c.*")
+    rows = VectorAssembler(inputCols=list(pii.FEATURES), outputCol="features").transform(made)
+    model = GBTClassifier(labelCol="label", featuresCol="features", maxIter=5, maxDepth=4, seed=1).fit(rows.where("family = 0").coalesce(1))
+    redactor = pii.Redactor([pii._read_tree(t._call_java("rootNode")) for t in model.trees], [float(w) for w in model.treeWeights], {})
+    both = model.transform(rows).select(vector_to_array("probability")[1].alias("p"), redactor.probability(F.col("c")).alias("q"), redactor.accepted(F.col("c")).alias("yes")).collect()
+    assert both and all(math.isclose(r.p, r.q, rel_tol=1e-9) and not r.yes for r in both)
+    templates = {r.family: r.n for r in pii.made_texts(spark).groupBy("family").agg(F.countDistinct(F.regexp_replace("text", "[0-9a-f]", "")).alias("n")).collect()}
+    assert set(templates) == {0, 1}
+
+
+def test_pieces_change_no_exact_span_and_long_texts_end(spark):
+    rng = np.random.default_rng(4)
+    bits = ["a.b@c.d", "1.2.3.4", "4111 1111-1111 1111", "+1 (22) 333-4444", "word", "x9", " ", "  ", "   ", ",", "\n", "9", "12", "-", "(at)", "password = q1w2e3r4", "é", "."]
+    texts = ["".join(bits[j] + (" " if rng.random() < 0.7 else "") for j in rng.integers(0, len(bits), 900)) for _ in range(12)]
+    texts.append(" ".join(f"{i}.{i % 7}" for i in range(80_000)))
+    texts.append("10.0.0.1 " * 3000)
+    rows = list(enumerate(texts))
+    redactor = pii.fit(spark, rounds=3)
+    found = {r.doc_id: r for r in pii.find_personal_data(docs(spark, rows), redactor).collect()}
+    written = lambda spans: ",".join(f"{pii.KINDS[s.kind]}:{s.start}:{s.end}" for s in spans)
+    assert all(written(found[i].base) == spans_by_hand(t) for i, t in rows)
+    clean = {r.doc_id: r.text for r in pii.redact(docs(spark, rows), redactor).collect()}
+    for i, t in rows:
+        spans, at, out = [], 0, []
+        for s in found[i].spans:
+            if spans and s.start < spans[-1][1]:
+                spans[-1][1] = max(spans[-1][1], s.end)
+            else:
+                spans.append([s.start, s.end, s.kind])
+        for a, b, kind in spans:
+            out += [t[at:a], f"[{pii.KINDS[kind].upper()}]"]
+            at = b
+        assert clean[i] == "".join(out) + t[at:]
+        added = [s for s in found[i].spans if s not in found[i].base]
+        assert all(t[s.start : s.end] == s.what for s in found[i].spans)
+        assert not any(x.start < y.end and y.start < x.end for x in added for y in found[i].spans if x is not y and x != y)
+    assert pii.find_personal_data(docs(spark).limit(0), redactor).count() == 0 and pii.redact(docs(spark).limit(0), redactor).count() == 0
+
+
 def test_token_files(spark, tmp_path):
     rows = [(i, t) for i, t in TEXTS if i is not None] + [(1000 + i, f"text {i} " * (i % 7)) for i in range(60)]
     manifest = tokenfile.write_token_files(docs(spark, rows), f"file://{tmp_path}/out")

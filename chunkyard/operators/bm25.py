@@ -1,7 +1,9 @@
 """Sparse retrieval: postings, statistics, weights, scores, top-k.
 
-Tokens of a document are made within its row; what is shuffled are (document, token) counts, and for
-a search only those of tokens that some query has.  Queries are weighted as documents are, so a
+Tokens of a document are made within its row, once: what a search or an index needs of them is staged as a
+table of (document, token) counts, with a mark for every document that carries its length.  For a search
+only counts of tokens that some query has are shuffled; an index keeps all of them, sorted by token,
+so that a search reads the row groups of its tokens.  Queries are weighted as documents are, so a
 token's IDF counts twice in a score; that is the model, not textbook BM25.
 """
 
@@ -11,10 +13,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chunkyard.functions import text as X
+from chunkyard.session import spread, written
+
+#: No token has less than two characters, so this one can stand for a document itself.
+MARK = ""
 
 
 def tokenized(docs: DataFrame, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
-    return docs.select(key, X.tokens(F.col(text)).alias("tokens"), *more)
+    return spread(docs).select(key, X.tokens(F.col(text)).alias("tokens"), *more)
 
 
 def postings(tokened: DataFrame, key: str = "doc_id", only: DataFrame | None = None) -> DataFrame:
@@ -59,22 +65,35 @@ def top_k(scored: DataFrame, k: int, query: str = "query_id", key: str = "doc_id
     return scored.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
 
 
+def staged(tokened: DataFrame, key: str = "doc_id", only: DataFrame | None = None, *more: str) -> tuple[DataFrame, DataFrame]:
+    """Postings (of the tokens in ``only``, or all) and statistics of all documents, from one pass over the tokens."""
+    rows = tokened.select(key, *more, F.size("tokens").alias("length"), F.explode(F.array_append("tokens", F.lit(MARK))).alias("token"))
+    if only is not None:
+        rows = rows.join(only.select("token").union(only.sparkSession.createDataFrame([(MARK,)], "token string")), "token", "left_semi")
+    found = written(rows.groupBy(key, *more, "length", "token").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    stats = found.where(F.col("token") == MARK).agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("n_docs"), F.coalesce(F.sum(F.col("tf") * F.col("length")), F.lit(0)).alias("total_len"))
+    return found.where(F.col("token") != MARK), stats.withColumn("avgdl", F.col("total_len") / F.greatest(F.col("n_docs"), F.lit(1)))
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int, keep: Column | None = None, key: str = "doc_id", query: str = "query_id") -> DataFrame:
     """Ranked documents for each query (query_id, text).  Statistics are the whole corpus's; ``keep`` limits what is ranked, before ranking."""
-    tokened = tokenized(docs, key, "text", *[c for c in docs.columns if c not in (key, "text")])
-    asked = postings(tokenized(queries, query), query)
-    wanted = asked.select("token").distinct()
-    found, stats = postings(tokened, key, wanted), corpus_stats(tokened)
-    idf = idf_table(document_frequency(found), stats)
+    kept = F.lit(True) if keep is None else F.coalesce(keep, F.lit(False))
+    tokened = spread(docs).select(key, X.tokens(F.col("text")).alias("tokens"), kept.alias("kept"))
+    asked = written(postings(tokenized(queries, query), query), "asked")
+    found, stats = staged(tokened, key, asked.select("token").distinct(), "kept")
+    return search_postings(found, idf_table(document_frequency(found), stats), stats, asked, k, key, query)
+
+
+def search_postings(found: DataFrame, idf: DataFrame, stats: DataFrame, asked: DataFrame, k: int, key: str = "doc_id", query: str = "query_id") -> DataFrame:
+    """Ranked documents from stored postings (key, length, token, tf and kept) and the postings of the queries."""
     known = asked.join(idf.select("token"), "token", "left_semi")
-    ranked = found if keep is None else postings(tokened.where(keep), key, wanted)
-    return top_k(scores(weights(known, idf, stats, query), weights(ranked, idf, stats, key), query, key), k, query, key)
+    return top_k(scores(weights(known, idf, stats, query), weights(found.where("kept"), idf, stats, key), query, key), k, query, key)
 
 
 def unknown_terms(queries: DataFrame, docs: DataFrame, query: str = "query_id") -> DataFrame:
     """Query tokens that no document has."""
     asked = queries.select(query, F.explode(F.array_distinct(X.tokens(F.col("text")))).alias("token"))
-    return asked.join(docs.select(F.explode(X.tokens(F.col("text"))).alias("token")), "token", "left_anti").select(query, "token")
+    return asked.join(spread(docs).select(F.explode(X.tokens(F.col("text"))).alias("token")), "token", "left_anti").select(query, "token")
 
 
 def refit(old_idf: DataFrame | None, batch: DataFrame, corpus: DataFrame | None = None, mode: str = "global") -> tuple[DataFrame, DataFrame]:
@@ -85,9 +104,10 @@ def refit(old_idf: DataFrame | None, batch: DataFrame, corpus: DataFrame | None
     """
     if mode not in ("global", "last_batch"):
         raise ValueError(f"no such mode: {mode}")
-    counted = tokenized(batch if mode == "last_batch" or corpus is None else corpus)
-    stats = corpus_stats(counted)
-    new = idf_table(document_frequency(postings(counted)), stats).select("token", "idf")
+    if mode == "global" and corpus is None:
+        raise ValueError("global statistics need the whole corpus")
+    posted, stats = staged(tokenized(batch if mode == "last_batch" else corpus))
+    new = idf_table(document_frequency(posted), stats).select("token", "idf")
     if mode == "global" or old_idf is None:
         return new, stats
     merged = old_idf.select("token", F.col("idf").alias("old")).join(new, "token", "full_outer")

@@ -34,7 +34,9 @@ def ranked(scored: DataFrame, k: int, query: str, key: str) -> DataFrame:
 
 
 def top_k_sql(vectors: DataFrame, queries: DataFrame, k: int, query: str = "query_id", key: str = "vec_id", places: int = 6) -> DataFrame:
-    """By SQL expressions: right for few vectors, and the check on ``top_k``.  ``queries`` has query and vector."""
+    """By SQL expressions: right for few vectors, and the check on ``top_k``.  ``queries`` has query and vector, within BROADCAST_BYTES."""
+    if (queries.agg(F.sum(8 * F.size("vector"))).first()[0] or 0) > BROADCAST_BYTES:
+        raise ValueError("too many query vectors to broadcast: use top_k")
     pairs = vectors.select(key, "embedding", norm(F.col("embedding")).alias("n")).join(F.broadcast(queries.select(query, "vector", norm(F.col("vector")).alias("qn"))))
     length = F.col("n") * F.col("qn")
     score = F.round(F.coalesce(F.when(length > 0, dot(F.col("embedding"), F.col("vector")) / length), F.lit(0.0)), places)
@@ -49,12 +51,12 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, query: str = "query_id
     out = None
     for b in range(blocks):
         rows = keyed.where(F.col("block") == b).select(query, "vector").toLocalIterator()
-        part = _block(vectors, [(r[0], list(r[1])) for r in rows], k, query, key, places)
+        part = _block(vectors, [(r[0], list(r[1])) for r in rows], k, query, key, places, queries.schema[query].dataType.simpleString())
         out = part if out is None else out.unionByName(part)
     return ranked(out, k, query, key)
 
 
-def _block(vectors: DataFrame, asked: list[tuple], k: int, query: str, key: str, places: int) -> DataFrame:
+def _block(vectors: DataFrame, asked: list[tuple], k: int, query: str, key: str, places: int, of: str) -> DataFrame:
     ids = [i for i, _ in asked]
     matrix = np.array([v for _, v in asked], dtype=np.float64) if asked else np.zeros((0, 1))
     shipped = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
@@ -77,4 +79,5 @@ def _block(vectors: DataFrame, asked: list[tuple], k: int, query: str, key: str,
                 hit = np.repeat(np.arange(len(ids)), order.shape[1])
                 yield pa.RecordBatch.from_pydict({query: [ids[i] for i in hit], key: keys[order.ravel()].tolist(), "score": score[hit, order.ravel()].tolist()})
 
-    return vectors.select(key, "embedding").where(F.col(key).isNotNull()).mapInArrow(run, f"{query} long, {key} long, score double")
+    kind = vectors.schema[key].dataType.simpleString()
+    return vectors.select(key, "embedding").where(F.col(key).isNotNull()).mapInArrow(run, f"{query} {of}, {key} {kind}, score double")

@@ -1,9 +1,9 @@
 """Chunks from syntax trees, with a pluggable parser.
 
 A parser turns a text into ``Node`` trees of a few general kinds; the walk over them is the same for
-every language.  Only Python has a parser here (the standard library's); files of other languages,
-and files a parser rejects or finds nothing in, become windows of lines.  That fallback is not
-syntax-tree chunking and its chunks say so by their names.
+every language.  Python has the standard library's parser, languages with braces have the light ones
+of ``braces``; files of other languages, and files a parser rejects or finds nothing in, become windows
+of lines.  That fallback is not syntax-tree chunking and its chunks say so by their names.
 """
 
 from __future__ import annotations
@@ -75,6 +75,12 @@ def parse_python(text: str) -> Node:
 PARSERS: dict[str, Callable[[str], Node]] = {"python": parse_python}
 
 
+def all_parsers() -> dict[str, Callable[[str], Node]]:
+    from chunkyard.operators import braces
+
+    return {**braces.PARSERS, **PARSERS}
+
+
 def _overview(node: Node, lines: list[str], scope: str) -> tuple[list[str], list[str]]:
     """Heads of what a node holds, and the names of it."""
     out, names = [], []
@@ -158,7 +164,7 @@ class Chunker:
 
 def symbol_chunks(files: DataFrame, parsers: dict[str, Callable[[str], Node]] | None = None) -> DataFrame:
     """Chunks of files (path, text, doc_type, language)."""
-    known, text, texts = parsers or PARSERS, pa.string(), pa.list_(pa.string())
+    known, text, texts = parsers or all_parsers(), pa.string(), pa.list_(pa.string())
     schema = pa.schema([("path", text), ("doc_type", text), ("language", text), ("name", text), ("parent", text), ("start_line", pa.int32()), ("raw", texts), ("text", text), ("symbol_names", texts)])
 
     def run(batches):

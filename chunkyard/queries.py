@@ -106,14 +106,13 @@ def corpus_stats(spark, sf_dir):
 
 @query(f"WITH {corpus_sql()} SELECT token, df, round(idf, 6) AS idf FROM idf")
 def idf_table(spark, sf_dir):
-    docs = bm25.tokenized(table(spark, sf_dir, "documents"))
-    return bm25.idf_table(bm25.document_frequency(bm25.postings(docs)), bm25.corpus_stats(docs)).withColumn("idf", F.round("idf", 6))
+    posted, stats = bm25.staged(bm25.tokenized(table(spark, sf_dir, "documents")))
+    return bm25.idf_table(bm25.document_frequency(posted), stats).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {corpus_sql()} SELECT doc_id, token, w AS weight FROM w WHERE w > 0")
 def bm25_doc_weights(spark, sf_dir):
-    docs = bm25.tokenized(table(spark, sf_dir, "documents"))
-    posted, stats = bm25.postings(docs), bm25.corpus_stats(docs)
+    posted, stats = bm25.staged(bm25.tokenized(table(spark, sf_dir, "documents")))
     return bm25.weights(posted, bm25.idf_table(bm25.document_frequency(posted), stats), stats).select("doc_id", "token", "weight")
 
 
@@ -168,7 +167,7 @@ def dense_topk(spark, sf_dir):
 @query(dense_sql(5, "v.label = 1"))
 def dense_topk_filtered(spark, sf_dir):
     kept = table(spark, sf_dir, "embeddings").where("label = 1")
-    return dense.top_k_sql(kept, vector_queries(spark, sf_dir), 5).select("query_id", as_long("rank").alias("rank"), "vec_id", "score")
+    return dense.top_k(kept, vector_queries(spark, sf_dir), 5).select("query_id", as_long("rank").alias("rank"), "vec_id", "score")
 
 
 def hybrid_sql(text: str) -> str:

@@ -17,14 +17,33 @@ def session(master: str | None = None, shuffle_partitions: int | None = None) ->
     return builder.getOrCreate()
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that spark.checkpoint.dir names, or in the context's own checkpoint folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as spark.checkpoint.dir or the context names it; one of this application's own
+    below it can be taken away as one.  Only a session that runs in one process may go without."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if spark.sparkContext.getCheckpointDir() is None:
-            spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("/tmp/checkpoints")
         base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/chunkyard/{name}-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/chunkyard/{spark.sparkContext.applicationId}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder."""
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def discard(spark: SparkSession) -> bool:
+    """Delete what this application has staged; for when none of its results will be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """As many partitions as cores, for a table of fewer files: a file of one row group would be one task, whatever is computed from it."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

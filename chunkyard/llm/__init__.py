@@ -1,4 +1,4 @@
 """Operations of a training-data pipeline over text corpora.
 
-Nothing outside this package imports it.  ``registry`` lists its queries.
+Nothing outside this package imports it.  ``queries`` lists its queries.
 """

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkyard.llm.common import map_slices, remainder, slices, text_rows
+from chunkyard.llm.common import batches_of, map_slices, remainder, slices, text_rows
 
 PASSAGE_BYTES = 512
 TRAIN_DOCS = 1500
@@ -230,4 +230,5 @@ def keep_good(docs: DataFrame, model: AttentionModel | None, least: float = LEAS
                 scores = scores_of(shipped.value, [t or "" for t in part.column(at).to_pylist()])
                 yield part.filter(pa.array([s >= least for s in scores], pa.bool_()))
 
+    batches_of(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,36 +12,26 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from chunkyard.session import shared_path, written
+
 #: Rows of an Arrow batch that become Python objects at once; bounds a worker's memory.
 SLICE_ROWS = 512
 SLICE_BYTES = 16 << 20
-#: Only for sessions that name no folder, as in tests.
-DEFAULT_SHARED_DIR = "/tmp/checkpoints"
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 8 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as the session names it."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(DEFAULT_SHARED_DIR)
-    return spark.sparkContext.getCheckpointDir().rstrip("/")
-
-
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/chunkyard/{name}-{uuid.uuid4().hex}"
+    return shared_path(spark, name)
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write ``df`` to the shared folder once and read it back."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return written(df, name)
 
 
 def file_system(path: str):
@@ -94,6 +83,12 @@ def map_slices(df: DataFrame, schema: T.StructType, start: Callable[[], Callable
     return df.mapInArrow(run, schema)
 
 
+def batches_of(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Texts go to Python in Arrow batches of about ``most`` bytes, so that the buffers on both sides stay small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def text_rows(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id, text (null: empty) and ``more``; whatever else the table has is left out."""
+    batches_of(docs.sparkSession)
     return docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).alias("text"), *more)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from chunkyard.llm.common import file_system, map_slices, scratch_path, slices, stage, text_rows
+from chunkyard.llm.common import batches_of, file_system, map_slices, scratch_path, slices, stage, text_rows
 
 WIDTH = 8
 #: Bytes of the windows of one automaton, on average.
@@ -218,4 +218,5 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, width: int = WIDTH, lea
             mask = [len(ids) < least_items for _, _, ids, _ in scan([t or "" for t in part.column(at).to_pylist()])]
             yield part.filter(pa.array(mask, pa.bool_()))
 
+    batches_of(docs.sparkSession)
     return docs.mapInArrow(keep, docs.schema)

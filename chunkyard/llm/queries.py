@@ -9,12 +9,17 @@ from pyspark.sql import functions as F
 
 from chunkyard.llm import attention, bpe, chat, ctw, decontaminate, licenses, pii, rules, simhash, sql, tokenfile
 from chunkyard.llm.common import load, remainder
+from chunkyard.session import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 #: What SQL cannot express (learned models, a tokenizer, a hash DuckDB lacks) has none; tests compare those with brute force.
 SQL: dict[str, str] = {"op2_licenses": sql.LICENSES, "op3_chat": sql.CHAT, "op5_decontamination": sql.DECONTAMINATION}
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(load(spark, sf_dir, "documents"))
+
+
 def query(f):
     QUERIES[f.__name__] = f
     return f
@@ -22,14 +27,14 @@ def query(f):
 
 @query
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     scored = attention.score_documents(docs, attention.fit(docs, load(spark, sf_dir, "labels")))
     return scored.select("doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= attention.LEAST_SCORE).cast("int").alias("predicted"))
 
 
 @query
 def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = licenses.scan_licenses(load(spark, sf_dir, "documents"))
+    found = licenses.scan_licenses(documents(spark, sf_dir))
     return found.select("doc_id", "digest", "license_id", F.array_join("notices", ",").alias("notices"))
 
 
@@ -54,40 +59,40 @@ def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode_documents(load(spark, sf_dir, "documents"))
+    coded = bpe.encode_documents(documents(spark, sf_dir))
     return coded.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decontaminate.find_contamination(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    found = decontaminate.find_contamination(documents(spark, sf_dir), load(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), (F.col("n_items") >= 2).alias("contaminated"))
 
 
 @query
 def op6_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    judged = rules.judge(load(spark, sf_dir, "documents"))
+    judged = rules.judge(documents(spark, sf_dir))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior")
 
 
 @query
 def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = pii.find_personal_data(load(spark, sf_dir, "documents"))
+    found = pii.find_personal_data(documents(spark, sf_dir))
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == pii.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(number, pii.KINDS[:4]), F.sha2(pii.written(F.col("base")), 256).alias("base_sha256"), pii.written(F.col("spans")).alias("spans"))
 
 
 @query
 def op8_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ctw.score_documents(load(spark, sf_dir, "documents"))
+    return ctw.score_documents(documents(spark, sf_dir))
 
 
 @query
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = simhash.near_duplicates(load(spark, sf_dir, "documents"))
+    found = simhash.near_duplicates(documents(spark, sf_dir))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 @query
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokenfile.read_token_files(tokenfile.write_token_files(load(spark, sf_dir, "documents")))
+    return tokenfile.read_token_files(tokenfile.write_token_files(documents(spark, sf_dir)))

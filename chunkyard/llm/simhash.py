@@ -41,11 +41,11 @@ RADIUS = 2
 #: Bits of each half of a fingerprint.
 HALF = BITS // 2
 #: Fingerprints whose variants are packed at once.
-BLOCK = 4096
+BLOCK = 1024
 #: Fingerprints whose variants a task packs, about.
 TASK_FINGERPRINTS = 32_768
 #: Variants that one bucket gets on average, at most.
-BUCKET_VARIANTS = 1 << 23
+BUCKET_VARIANTS = 1 << 22
 #: Variants of a bucket that are made and sorted together, about.
 RANGE_VARIANTS = 1 << 20
 #: Copies of a small side's rows, over which a node with very many links is spread in a join.

@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chunkyard.llm.common import file_system, map_slices, scratch_path, slices, stage, text_rows
+from chunkyard.llm.common import batches_of, file_system, map_slices, scratch_path, slices, stage, text_rows
 
 END_ID = 2
 #: Entries in each of the two generations of a worker's memory of encoded chunks.
@@ -270,6 +270,7 @@ def write_token_files(docs: DataFrame, out_dir: str | None = None, vocabulary: s
     out_dir, path = out_dir or scratch_path(docs.sparkSession, "token-files"), vocabulary or default_vocabulary()
     end = struct.pack("<I", end_id)
     ordered = text_rows(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    batches_of(docs.sparkSession, SLICE_BYTES)
 
     def write(batches: Iterator) -> Iterator:
         tokenizer, (system, base) = shared_tokenizer(path), file_system(out_dir)

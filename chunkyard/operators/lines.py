@@ -14,6 +14,7 @@ from chunkyard.functions import text as X
 from chunkyard.schema import NOTEBOOK
 
 WINDOW, OVERLAP = 400, 50
+SLICE_CHARS = 8000
 CONFIG_TOKENS = 300
 
 
@@ -80,13 +81,11 @@ def notebook_chunks(files: DataFrame) -> DataFrame:
         own = F.array(F.struct(at(code_cell)["source"].alias("text"), F.concat(F.lit("cell::"), i.cast("string")).alias("name"), i.alias("line"), F.lit("notebook").alias("doc_type"), F.lit("python").alias("language")))
         return F.concat(F.when(F.size(between) > 0, text).otherwise(F.filter(text, lambda _: F.lit(False))), F.when(code_cell <= F.size("_cells"), own).otherwise(F.filter(text, lambda _: F.lit(False))))
 
-    made = F.flatten(F.transform(F.sequence(F.lit(0), F.size("_code")), stretch))
+    # What is no notebook at all comes in slices of its characters.
+    text = F.coalesce("text", F.lit(""))
+    cut = F.transform(F.sequence(F.lit(0), F.greatest(F.length(text) - 1, F.lit(0)), F.lit(SLICE_CHARS)), lambda i: F.substring(text, i + 1, F.lit(SLICE_CHARS)))
+    sliced = F.transform(F.filter(cut, lambda t: X.strip(t) != ""), lambda t, i: F.struct(t.alias("text"), F.concat(F.lit("chunk::"), (i * SLICE_CHARS).cast("string")).alias("name"), F.lit(0).alias("line"), F.lit("notebook").alias("doc_type"), F.lit("python").alias("language")))
+    broken = F.from_json("text", NOTEBOOK)["cells"].isNull() & ~X.strip(text).startswith("{}")
+    made = F.when(broken, sliced).otherwise(F.flatten(F.transform(F.sequence(F.lit(0), F.size("_code")), stretch)))
     kept = [c for c in files.columns if c not in ("text", "doc_type", "language")]
     return rows.select(*kept, F.explode(made).alias("p")).select(*kept, X.strip(F.col("p.text")).alias("text"), F.col("p.name").alias("name"), F.col("p.line").cast("int").alias("start_line"), F.col("p.doc_type").alias("doc_type"), F.col("p.language").alias("language"))
-
-
-def slices(files: DataFrame, size: int = 8000) -> DataFrame:
-    """Fixed slices of characters, for notebooks that cannot be read as such; blank ones are left out."""
-    starts = F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(size))
-    made = F.transform(starts, lambda i: _piece(F.substr(F.col("text"), i + 1, F.lit(size)), F.concat(F.lit("chunk::"), i.cast("string")), F.lit(0)))
-    return _chunks(files, F.filter(made, lambda p: X.strip(p["text"]) != ""))

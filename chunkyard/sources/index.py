@@ -1,12 +1,15 @@
 """A versioned chunk index on Parquet.
 
-A collection is a folder of versions and a pointer.  A change reads the current version, writes the
-next one whole and then moves the pointer, so a reader never sees a half-made version and a failed
-job changes nothing.  The pointer is a one-row table of its own name, written to a new path each time.
+A collection is a folder of versions and marks.  A change reads the current version, takes the next
+number (a folder that only one writer can make), writes that version whole and then makes its mark, so a
+reader never sees a half-made version, a failed job changes nothing, and of two writers at once the
+second one fails instead of overwriting the first.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,10 +21,11 @@ def with_point_ids(chunks: DataFrame, collection: str) -> DataFrame:
 
 
 def upserted(existing: DataFrame, new: DataFrame, key: str = "point_id", order: Column | None = None) -> DataFrame:
-    """Existing rows but those of the same key, and the last of each new key."""
-    by = order if order is not None else F.monotonically_increasing_id()
-    last = new.withColumn("_o", by).withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_o")))).where("_n = 1").drop("_n", "_o")
-    return existing.join(last.select(key), key, "left_anti").unionByName(last, allowMissingColumns=True)
+    """Existing rows but those of the same key, and one of each new key: the last by ``order``, or by all columns where that ties."""
+    last = [F.desc(order)] if order is not None else []
+    ties = F.desc(F.xxhash64(*[c for c in new.columns if c != key]))
+    one = new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*last, ties))).where("_n = 1").drop("_n")
+    return existing.join(one.select(key), key, "left_anti").unionByName(one, allowMissingColumns=True)
 
 
 def without_files(existing: DataFrame, paths: DataFrame, column: str = "file_path") -> DataFrame:
@@ -41,10 +45,11 @@ def renamed_repo(existing: DataFrame, new_url: str) -> DataFrame:
     return existing.withColumn("repo_url", F.lit(new_url))
 
 
-def name_map(chunks: DataFrame) -> DataFrame:
-    """name and id: full names and last segments, the last id in order of each."""
-    pairs = chunks.select("id", F.explode(F.array_distinct(F.array("name", X.last_segment(F.col("name"))))).alias("name")).where("name <> ''")
-    return pairs.groupBy("name").agg(F.max("id").alias("id"))
+def name_map(chunks: DataFrame, order: str = "start_line") -> DataFrame:
+    """name and id: full names and last segments; of several the last written, by file, line and id where the table has them."""
+    by = F.struct(*[c for c in ("file_path", order, "id") if c in chunks.columns])
+    pairs = chunks.select("id", by.alias("turn"), F.explode(F.array_distinct(F.array("name", X.last_segment(F.col("name"))))).alias("name")).where("name <> ''")
+    return pairs.groupBy("name").agg(F.max_by("id", "turn").alias("id"))
 
 
 def lookup(chunks: DataFrame, ids: DataFrame, key: str = "id") -> DataFrame:
@@ -82,42 +87,71 @@ class Index:
         v = self.version(collection)
         return None if v is None else self.spark.read.parquet(f"{self.root}/{collection}/v{v:06d}")
 
-    def replace(self, collection: str, chunks: DataFrame) -> int:
-        """Write the next version, then its mark."""
-        v = (self.version(collection) or 0) + 1
-        chunks.write.mode("overwrite").parquet(f"{self.root}/{collection}/v{v:06d}")
+    def exists(self, path: str) -> bool:
+        fs, new = self._fs()
+        return fs.exists(new(path))
+
+    def replace(self, collection: str, chunks: DataFrame, finish: Callable[[str, int, DataFrame], None] | None = None) -> int:
+        """Write the next version, let ``finish`` add to it (collection, version, its rows), then make its mark."""
+        size = chunks.select(F.size("vector").alias("n")).where("vector is not null").distinct().limit(2).collect() if "vector" in chunks.columns else []
+        old = self.read(collection)
+        before = old.select(F.size("vector").alias("n")).where("vector is not null").limit(1).collect() if old is not None and "vector" in old.columns else []
+        if len(size) > 1 or (size and before and size[0].n != before[0].n):
+            raise ValueError(f"vectors of {sorted({r.n for r in size + before})} dimensions in one collection")
         fs, new = self._fs()
-        fs.create(new(f"{self.root}/{collection}/current-{v:06d}"), True).close()
+        v, folder = (self.version(collection) or 0) + 1, f"{self.root}/{collection}"
+        claim = new(f"{folder}/writing-{v:06d}")
+        try:
+            fs.create(claim, False).close()
+        except Exception as e:
+            raise RuntimeError(f"version {v} of {collection} is being written by someone else") from e
+        try:
+            chunks.write.mode("overwrite").parquet(f"{folder}/v{v:06d}")
+            if finish is not None:
+                finish(collection, v, self.spark.read.parquet(f"{folder}/v{v:06d}"))
+            fs.create(new(f"{folder}/current-{v:06d}"), True).close()
+        finally:
+            fs.delete(claim, False)
         return v
 
-    def upsert(self, collection: str, chunks: DataFrame, removed_files: DataFrame | None = None) -> int:
+    def upsert(self, collection: str, chunks: DataFrame, removed_files: DataFrame | None = None, finish: Callable | None = None) -> int:
         new, old = with_point_ids(chunks, collection), self.read(collection)
         if old is None:
-            return self.replace(collection, upserted(new.limit(0), new))
-        return self.replace(collection, upserted(old if removed_files is None else without_files(old, removed_files), new))
+            return self.replace(collection, upserted(new.limit(0), new), finish)
+        return self.replace(collection, upserted(old if removed_files is None else without_files(old, removed_files), new), finish)
 
-    def delete_files(self, collection: str, paths: DataFrame) -> int | None:
+    def delete_files(self, collection: str, paths: DataFrame, finish: Callable | None = None) -> int | None:
         old = self.read(collection)
-        return None if old is None else self.replace(collection, without_files(old, paths))
+        return None if old is None else self.replace(collection, without_files(old, paths), finish)
 
-    def rename_file(self, collection: str, old_path: str, new_path: str) -> int:
+    def rename_file(self, collection: str, old_path: str, new_path: str, finish: Callable | None = None) -> int:
         old = self.read(collection)
         if old is None:
             raise KeyError(collection)
-        return self.replace(collection, with_point_ids(renamed_file(old, old_path, new_path), collection))
+        return self.replace(collection, with_point_ids(renamed_file(old, old_path, new_path), collection), finish)
 
-    def rename_repo(self, collection: str, new_collection: str, new_url: str) -> int:
+    def rename_repo(self, collection: str, new_collection: str, new_url: str, finish: Callable | None = None) -> int:
         old = self.read(collection)
         if old is None:
             raise KeyError(collection)
-        v = self.replace(new_collection, with_point_ids(renamed_repo(old, new_url), new_collection))
+        v = self.replace(new_collection, with_point_ids(renamed_repo(old, new_url), new_collection), finish)
         if new_collection != collection:
             fs, new = self._fs()
             fs.delete(new(f"{self.root}/{collection}"), True)
         return v
 
-    def export_text(self, collection: str, path: str) -> None:
-        chunks = self.read(collection)
+    def everything(self) -> DataFrame | None:
+        """The chunks of all collections, with ``collection``."""
+        out = None
+        for name in self.collections():
+            part = self.read(name).withColumn("collection", F.lit(name))
+            out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+        return out
+
+    def export_text(self, collection: str | None, path: str) -> None:
+        """Descriptions and texts of a collection, or of all, as text; of all, in a folder a collection."""
+        chunks = self.read(collection) if collection is not None else self.everything()
         if chunks is None:
             raise KeyError(collection)
-        chunks.select(X.enriched_text(F.col("description"), F.col("text")).alias("value")).write.text(path)
+        rows = chunks.select(X.enriched_text(F.col("description"), F.col("text")).alias("value"), *([] if collection is not None else ["collection"]))
+        (rows.write if collection is not None else rows.write.partitionBy("collection")).text(path)

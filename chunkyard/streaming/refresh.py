@@ -16,6 +16,8 @@ from chunkyard.schema import COMMIT_STATE, PUSH_ONE, PUSH_TWO
 from chunkyard.session import written
 
 NO_FILES = "array<string>"
+#: A job that is put in by hand.
+JOB = "repo string, branch string, changed_files array<string>, before_sha string, after_sha string"
 
 
 def _files(commits: Column, *kinds: str) -> Column:
@@ -27,9 +29,9 @@ def _files(commits: Column, *kinds: str) -> Column:
 def parse_pushes(events: DataFrame) -> DataFrame:
     """Jobs from events (seq, provider: one or two, event, body): repo, seq, branch, changed_files, removed_files, before_sha, after_sha.
 
-    The first kind names its files; of the second, each change is a job with a range of commits.
+    The first kind names its files; of the second, each change is a job with a range of commits; "manual" ones are jobs as they are.
     """
-    pushes = events.where(F.col("event").isin("push", "repo:push"))
+    pushes = events.where(F.col("event").isin("push", "repo:push", "trigger"))
     one = pushes.where("provider = 'one'").select("seq", F.from_json("body", PUSH_ONE).alias("b"))
     one = one.select(
         F.col("b.repository.clone_url").alias("repo"), "seq", X.branch_of(F.coalesce("b.ref", F.lit(""))).alias("branch"), _files(F.col("b.commits"), "added", "modified").alias("changed_files"),
@@ -39,7 +41,14 @@ def parse_pushes(events: DataFrame) -> DataFrame:
     two = two.select("seq", F.coalesce("b.repository.links.html.href", "b.repository.full_name").alias("repo"), F.explode("b.push.changes").alias("c"))
     none = F.lit(None).cast(NO_FILES)
     two = two.select("repo", "seq", F.coalesce("c.new.name", F.lit("main")).alias("branch"), none.alias("changed_files"), F.array().cast(NO_FILES).alias("removed_files"), F.col("c.old.target.hash").alias("before_sha"), F.col("c.new.target.hash").alias("after_sha"))
-    return one.unionByName(two)
+    by_hand = pushes.where("provider = 'manual'").select("seq", F.from_json("body", JOB).alias("b")).select("b.repo", "seq", F.coalesce("b.branch", F.lit("main")).alias("branch"), "b.changed_files", F.array().cast(NO_FILES).alias("removed_files"), "b.before_sha", "b.after_sha")
+    return one.unionByName(two).unionByName(by_hand)
+
+
+def read_events(spark: SparkSession, path: str, stream: bool = True) -> DataFrame:
+    """Events (JSON lines of provider, event, at, body) from a folder, in order of ``at`` as ``seq``."""
+    reader = (spark.readStream if stream else spark.read).schema("provider string, event string, at double, body string")
+    return reader.json(path).withColumn("seq", (F.coalesce("at", F.lit(0.0)) * 1_000_000).cast("long"))
 
 
 def known_gate(jobs: DataFrame, state: DataFrame) -> DataFrame:
@@ -129,19 +138,29 @@ class Refresher:
     def __init__(self, spark: SparkSession, state_path: str, refresh: Callable[[DataFrame], DataFrame], delete: Callable[[DataFrame], None] | None = None):
         self.spark, self.state_path, self.refresh, self.delete = spark, state_path.rstrip("/"), refresh, delete
 
-    def state(self) -> DataFrame:
+    def _last(self) -> str | None:
         """The newest state whose write completed."""
         jvm = self.spark._jvm
         new = jvm.org.apache.hadoop.fs.Path
         fs = new(self.state_path).getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = [s.getPath().getName() for s in fs.listStatus(new(self.state_path))] if fs.exists(new(self.state_path)) else []
-        done = sorted(n for n in names if n.startswith("s") and fs.exists(new(f"{self.state_path}/{n}/_SUCCESS")))
-        return self.spark.read.schema(COMMIT_STATE).parquet(f"{self.state_path}/{done[-1]}") if done else self.spark.createDataFrame([], COMMIT_STATE)
+        done = [n for n in names if n.startswith("s") and fs.exists(new(f"{self.state_path}/{n}/_SUCCESS"))]
+        return max(done, key=lambda n: (n[:13], int(n[14:])), default=None)
+
+    def state(self) -> DataFrame:
+        last = self._last()
+        return self.spark.read.schema(COMMIT_STATE).parquet(f"{self.state_path}/{last}") if last else self.spark.createDataFrame([], COMMIT_STATE)
 
     def _write(self, state: DataFrame, batch: int, step: int) -> None:
         """The state is a row a repository; each step writes a folder of its own, so a batch can be run again."""
         state.write.mode("overwrite").parquet(f"{self.state_path}/s{batch:012d}-{step}")
 
+    def record(self, done: DataFrame) -> None:
+        """Mark repositories (repo, sha) as done outside a batch: after the last batch's state, and before the next one's."""
+        state = written(finished(self.state(), done), "state")
+        last = self._last()
+        self._write(state, int(last[1:13]) if last else 0, 2 + (int(last[14:]) if last else 0))
+
     def batch(self, events: DataFrame, number: int) -> None:
         jobs = written(parse_pushes(events), "jobs")
         if self.delete is not None:  # before anything new is put in

@@ -11,6 +11,7 @@ from chunkyard.functions import text as X
 from chunkyard.operators import bm25, dense, describe, evaluate, fusion, graph, lines, symbols
 from chunkyard.plans import ingest
 from chunkyard.plans import search as plan
+from chunkyard.session import spread
 from chunkyard.sources import files as sources
 from chunkyard.sources import index
 from chunkyard.streaming import refresh
@@ -33,6 +34,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, for what costs more than to deal them out."""
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def as_long(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
@@ -275,7 +281,7 @@ l2 AS (SELECT doc_id, CASE WHEN a[-1] = '' THEN a[:-2] ELSE a END AS a FROM l),
 i AS (SELECT doc_id, a, unnest(generate_series(0, len(a) - 1, 15)) AS i FROM l2)
 SELECT doc_id, i AS start_line, 'chunk::' || i AS name, md5(t) AS digest FROM (SELECT doc_id, i, {strip_sql("array_to_string(a[i + 1:i + 20], chr(10))")} AS t FROM i) WHERE t <> ''""")
 def sliding_window_chunks(spark, sf_dir):
-    made = lines.sliding_windows(table(spark, sf_dir, "documents").select("doc_id", "text"), 20, 5)
+    made = lines.sliding_windows(texts(spark, sf_dir).select("doc_id", "text"), 20, 5)
     return made.select("doc_id", as_long("start_line").alias("start_line"), "name", F.md5("text").alias("digest"))
 
 
@@ -300,13 +306,42 @@ def markdown_chunks(spark, sf_dir):
     return lines.markdown_chunks(turns).select("conv_id", "turn", "name", F.md5("text").alias("digest"))
 
 
-_MODULE = "import os\n\n\nclass Store:\n    limit = 3\n\n    def put(self, key):\n        return check(key)\n\n\ndef check(key):\n    return os.path.join(key)\n"
+def code_of(docs: DataFrame, head: str, line: str, foot: str = "") -> Column:
+    """A document as a source file: a function for each of its lines, which has the line's letters, digits and spaces as a string."""
+    filled = lambda pattern, i, words: F.replace(F.replace(F.replace(F.lit(pattern), F.lit("<id>"), F.col("doc_id").cast("string")), F.lit("<i>"), i.cast("string")), F.lit("<words>"), words)
+    lines_ = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    body = F.array_join(F.transform(lines_, lambda t, i: filled(line, i, F.regexp_replace(t, "[^A-Za-z0-9 ]", ""))), "")
+    return F.concat(filled(head, F.lit(0), F.lit("")), body, filled(foot, F.lit(0), F.lit("")))
+
+
+_PY_HEAD, _PY_LINE = "import os\n\n\nclass Doc<id>:\n    def put(self):\n        return check(<id>)\n\n\n", 'def line_<i>():\n    return words("<words>")\n\n\n'
+_LINES = "ln AS (SELECT doc_id, source, unnest(a) AS t, generate_subscripts(a, 1) - 1 AS i FROM (SELECT doc_id, source, string_split(text, chr(10)) AS a FROM documents)), wd AS (SELECT *, length(regexp_replace(t, '[^A-Za-z0-9 ]', '', 'g')) AS n FROM ln)"
 
 
-@query()
+@query(f"""WITH {_LINES}, sy AS (SELECT source || '/m' || doc_id || '.py' AS path, 'line_' || i AS name, 'code' AS doc_type, '' AS parent, 8 + 4 * i AS start_line, 'words' AS calls FROM wd WHERE (length('def line_' || i || '():' || chr(10) || '    return words("") ') - 1 + n) // 4 <= 800
+UNION ALL SELECT source || '/m' || doc_id || '.py', 'Doc' || doc_id || '.put', 'code', 'Doc' || doc_id, 4, 'check' FROM documents
+UNION ALL SELECT source || '/m' || doc_id || '.py', 'Doc' || doc_id || '[context]', 'code_context', '', 3, 'check' FROM documents)
+SELECT path || '::' || name || '::' || start_line AS id, name, doc_type, parent, start_line::INT AS start_line, calls FROM sy""")
 def ast_symbols(spark, sf_dir):
-    files = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("/m"), "doc_id", F.lit(".py")).alias("path"), F.concat(F.lit(_MODULE), F.lit("\n\ndef own_"), "doc_id", F.lit("():\n    return Store().put("), "doc_id", F.lit(")\n")).alias("text"))
-    return ingest.chunk_files(files).select("id", "name", "doc_type", "parent", "start_line", F.array_join("raw", ",").alias("calls"))
+    docs = texts(spark, sf_dir)
+    files = docs.select(F.concat("source", F.lit("/m"), "doc_id", F.lit(".py")).alias("path"), code_of(docs, _PY_HEAD, _PY_LINE).alias("text"))
+    made = ingest.chunk_files(files).where(~F.col("name").startswith("["))
+    return made.select("id", "name", "doc_type", "parent", "start_line", F.array_join("raw", ",").alias("calls"))
+
+
+_JS_LINE, _JAVA_LINE, _GO_LINE = 'function line_<i>(a) {\n  return words("<words>");\n}\n', '  String line_<i>(int a) {\n    return words("<words>");\n  }\n', 'func line_<i>(a int) string {\n\treturn words("<words>")\n}\n'
+
+
+@query(f"""WITH {_LINES}, k AS (SELECT *, doc_id % 3 AS k FROM wd)
+SELECT source || '/m' || doc_id || (['.js', '.java', '.go'])[k + 1] AS path, CASE WHEN k = 1 THEN 'Doc' || doc_id || '.' ELSE '' END || 'line_' || i AS name, CASE WHEN k = 1 THEN 'Doc' || doc_id ELSE '' END AS parent,
+((['javascript', 'java', 'go'])[k + 1]) AS language, (3 * i + (k = 1)::INT)::INT AS start_line, 'words' AS calls FROM k
+WHERE (n + length('line_' || i) + ([length('function (a) {{xreturn words("");xx}}x') + 1, length('  String (int a) {{x    return words("");x  }}'), length('func (a int) string {{xxreturn words("")x}}')])[k + 1]) // 4 <= 800""")
+def symbols_of_other_languages(spark, sf_dir):
+    docs, of = texts(spark, sf_dir), F.pmod("doc_id", F.lit(3))
+    text = F.when(of == 0, code_of(docs, "", _JS_LINE)).when(of == 1, code_of(docs, "class Doc<id> {\n", _JAVA_LINE, "}\n")).otherwise(code_of(docs, "", _GO_LINE))
+    path = F.concat("source", F.lit("/m"), "doc_id", F.when(of == 0, ".js").when(of == 1, ".java").otherwise(".go"))
+    made = ingest.chunk_files(docs.select(path.alias("path"), text.alias("text"))).where(F.col("name").rlike(r"line_[0-9]+$"))
+    return made.select(F.col("file_path").alias("path"), "name", "parent", "language", "start_line", F.array_join("raw", ",").alias("calls"))
 
 
 @query("""WITH t AS (SELECT conv_id, turn, text, role = 'assistant' AS code FROM conversations),
@@ -487,7 +522,8 @@ def tumbling_event_counts(spark, sf_dir):
     return refresh.tumbling_counts(table(spark, sf_dir, "events")).select(F.unix_seconds("start").alias("start_s"), "event_type", "n", F.round("total", 3).alias("total"))
 
 
-@query()
+@query("""SELECT 'https://example.com/r' || user_id AS repo, event_id AS seq, 'main' AS branch, 'f' || (event_id % 9) || CASE WHEN event_id % 9 = event_id % 4 THEN '' ELSE ',f' || (event_id % 4) END AS changed_files, 'gone' AS removed_files, 'a' AS before_sha, 'b' AS after_sha FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT 'r' || user_id, event_id, 'dev', NULL, '', 'o', 'n' FROM events WHERE event_id % 2 <> 0""")
 def push_jobs(spark, sf_dir):
     e = F.col("event_id")
     one = F.to_json(F.struct(F.struct(F.concat(F.lit("https://example.com/r"), "user_id").alias("clone_url")).alias("repository"), F.lit("refs/heads/main").alias("ref"), F.lit("a").alias("before"), F.lit("b").alias("after"), F.array(F.struct(F.array(F.concat(F.lit("f"), e % 9)).alias("added"), F.array(F.concat(F.lit("f"), e % 4)).alias("modified"), F.array(F.lit("gone")).alias("removed"))).alias("commits")))
@@ -593,20 +629,28 @@ def one_search(spark, sf_dir, **more) -> DataFrame:
     vector = table(spark, sf_dir, "embeddings").where("vec_id = 0").first()
     request = plan.SearchRequest(item.text, top_k=5, **more)
     found = plan.search(chunk_table(spark, sf_dir), request, [float(x) for x in vector.embedding])
-    return found.select("place", "id", "score", "file_path", "name", "expand_reason")
+    return found.select(as_long("place").alias("place"), "id", "score", "file_path", "name", "expand_reason")
+
+
+_CHUNKS = "hd AS (SELECT 'd' || doc_id AS doc_id, doc_id AS n, text, source, lang, embedding FROM documents JOIN embeddings ON vec_id = doc_id), items AS (SELECT 0 AS query_id, text, (SELECT embedding FROM embeddings WHERE vec_id = 0) AS vector FROM benchmark WHERE item_id = 0)"
+_PLACES = """ex AS (SELECT 'd' || (n + p) AS id, 'calls:' || arg_min('doc' || n, rank * 10 + p) AS reason FROM hits, (SELECT unnest([1, 2]) AS p) GROUP BY 1),
+al AS (SELECT id, rank, score, NULL::VARCHAR AS reason FROM hits UNION ALL SELECT id, 1 << 30, 0.0, min(reason) FROM (SELECT * FROM ex{0}) WHERE id NOT IN (SELECT id FROM hits) GROUP BY id)
+SELECT row_number() OVER (ORDER BY rank, al.id) AS place, al.id, score, source AS file_path, 'doc' || n AS name, reason AS expand_reason FROM al JOIN hd ON hd.doc_id = al.id"""
 
 
-@query()
+@query(f"""WITH {_CHUNKS}, {corpus_sql("hd")}, {asked_sql("items")}, {sparse_sql(15)},
+dsc AS (SELECT doc_id, round(list_cosine_similarity(embedding::DOUBLE[], vector::DOUBLE[]), 6) AS score FROM hd, items),
+dn AS (SELECT * FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM dsc) WHERE rank <= 15),
+fu AS (SELECT doc_id, CASE WHEN (SELECT count(*) FROM sparse) > 0 THEN round(coalesce(1.0 / (1 + s.rank), 0) + coalesce(1.0 / (1 + n.rank), 0), 6) ELSE n.score END AS score FROM sparse s FULL JOIN dn n USING (doc_id)),
+hits AS (SELECT fu.doc_id AS id, hd.n, score, rank FROM (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM fu) fu JOIN hd USING (doc_id) WHERE rank <= 5), {_PLACES.format("")}""")
 def search_hybrid(spark, sf_dir):
     return one_search(spark, sf_dir)
 
 
-@query()
+@query(f"""WITH {_CHUNKS}, {corpus_sql("hd")}, {asked_sql("items")}, {sparse_sql(5, "JOIN hd USING (doc_id) WHERE lang = 'en'")},
+hits AS (SELECT s.doc_id AS id, hd.n, score, rank FROM sparse s JOIN hd USING (doc_id)),
+h1 AS (SELECT DISTINCT n - p AS n FROM hits, (SELECT unnest([1, 2]) AS p) WHERE n - p NOT IN (SELECT n FROM hits)),
+h2 AS (SELECT DISTINCT n - p AS n FROM (SELECT n FROM h1 WHERE n IN (SELECT n FROM hd)), (SELECT unnest([1, 2]) AS p) WHERE n - p NOT IN (SELECT n FROM hits UNION ALL SELECT n FROM h1)),
+{_PLACES.format(" UNION ALL SELECT 'd' || n, 'called_by (hop 1)' FROM h1 UNION ALL SELECT 'd' || n, 'called_by (hop 2)' FROM h2")}""")
 def search_with_callers(spark, sf_dir):
-    return one_search(spark, sf_dir, called_by_hops=2, search_mode="sparse", branch="es")
-
-
-@query()
-def symbols_of_other_languages(spark, sf_dir):
-    files = paths(table(spark, sf_dir, "documents")).where("path like '%.ts'").select("path", "text", F.lit("code").alias("doc_type"), F.lit("typescript").alias("language"))
-    return symbols.symbol_chunks(files).select("path", "name", "start_line")
+    return one_search(spark, sf_dir, called_by_hops=2, search_mode="sparse", branch="en")

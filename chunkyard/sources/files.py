@@ -21,6 +21,7 @@ LANGUAGES = {
     ".css": "css", ".scss": "css", ".java": "java", ".rs": "rust", ".rb": "ruby", ".cpp": "cpp", ".cc": "cpp", ".cxx": "cpp", ".c": "c",
     ".cs": "c_sharp", ".php": "php", ".kt": "kotlin", ".swift": "swift", ".lua": "lua", ".r": "r", ".sh": "bash", ".bash": "bash",
 }
+# What begins a comment, by suffix.
 COMMENTS = {".py": "#", ".java": "//", ".cpp": "//", ".js": "//", ".cs": "//", ".php": "//", ".c": "//"}
 
 
@@ -42,6 +43,29 @@ def _lossy(column: str) -> Column:
     return F.call_function("make_valid_utf8", F.col(column).cast("string"))
 
 
+def head_commit(folder: str) -> str | None:
+    """The commit of a local clone, from its files; None where there is none."""
+    from pathlib import Path
+
+    try:
+        head = (Path(folder) / ".git/HEAD").read_text().strip()
+        if not head.startswith("ref: "):
+            return head
+        ref = head.removeprefix("ref: ")
+        own = Path(folder) / ".git" / ref
+        if own.exists():
+            return own.read_text().strip()
+        packed = [line.split(" ") for line in (Path(folder) / ".git/packed-refs").read_text().splitlines() if line.endswith(f" {ref}")]
+        return packed[0][0] if packed else None
+    except OSError:
+        return None
+
+
+def walk_order(files: DataFrame) -> DataFrame:
+    """The files by path, for where their order matters."""
+    return files.orderBy("path")
+
+
 def classify(files: DataFrame) -> DataFrame:
     """path and text with kind (which chunker), doc_type and language."""
     ext, name = X.suffix(F.col("path")), F.lower(X.file_name(F.col("path")))

@@ -112,6 +112,21 @@ def unfinished(state: DataFrame) -> DataFrame:
     return state.where(~F.col("done")).select("repo", "sha")
 
 
+def logged(jobs: DataFrame, path: str) -> None:
+    """Append the jobs to a log of JSON lines, each with the time it was put there."""
+    jobs.select(F.to_json(F.struct(*jobs.columns), {"ignoreNullFields": "false"}).alias("job"), F.unix_micros(F.current_timestamp()).alias("at")).write.mode("append").json(path)
+
+
+def remaining(log: DataFrame, done: DataFrame) -> DataFrame:
+    """What is left of a log (job, at) without the jobs that are done, compared by value."""
+    return log.join(done.select(F.to_json(F.struct(*done.columns), {"ignoreNullFields": "false"}).alias("job")), "job", "left_anti")
+
+
+def pending(depths: DataFrame) -> DataFrame:
+    """Repositories that have jobs waiting."""
+    return depths.where("pending > 0")
+
+
 def queue_depth(jobs: DataFrame, repo: str = "repo") -> DataFrame:
     return jobs.groupBy(repo).agg(F.count(F.lit(1)).alias("pending"))
 

@@ -5,13 +5,16 @@ equivalent spellings one way, and joins the rest by single spaces.  Its SHA-256
 digests of the known licences and notices: the whole text at once, and each line by itself, since a
 notice such as "Licensed under ..." is an entire text of its own inside a document.
 
-Known texts are a table of their own (``known_texts`` by default, 20 rows; any table with license_id
-and text).  Only digests of the known texts are joined; the table is broadcast when Spark's own size
-limit for that allows it, and hash-joined otherwise.
+Known texts are a table of their own (any table with license_id and text; by default ``known_texts``, to which come
+the digests of longer licences, whose texts need not be here).  Only digests are joined; the table is broadcast when
+Spark's own size limit for that allows it, and hash-joined otherwise.  Documents are read and brought to their canonical
+form once: a row's whole digest and its lines' go through one join, and only the whole and what matched are
+gathered again by row.
 
 Edge cases: null text is empty; a text without words has the digest of the empty text and matches
 nothing; a text of copyright lines only is such a text; several known ids with one canonical form
-give the smallest id; repeated rows are each reported; other columns are ignored.
+give the smallest id; repeated rows, and rows with one or no doc_id, are each reported by their own text; an empty
+table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,6 +42,11 @@ KNOWN_TEXTS = {
     "BSD-2-Clause": _BSD_OPEN + _BSD_END,
     "BSD-3-Clause": _BSD_OPEN + _BSD_NAME + _BSD_END,
 }
+KNOWN_TEXTS |= {
+    "0BSD": 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.\n\nTHE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.',
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.\n\nPermission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:\n\n1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required.\n\n2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software.\n\n3. This notice may not be removed or altered from any source distribution.",
+    "Unlicense": 'This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.\n\nIn jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nFor more information, please refer to <https://unlicense.org/>',
+}
 KNOWN_NOTICES = {
     "notice:Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "notice:MIT": "Released under the MIT License.",
@@ -58,6 +66,23 @@ KNOWN_NOTICES = {
     "notice:all-rights-reserved": "All rights reserved.",
 }
 
+# SHA-256 of the canonical forms of further public licence texts, in their usual line breaks.
+KNOWN_DIGESTS = {
+    "Apache-2.0": "ff7be961361eda3cd2a76927dd0d9482cf45defafde2045befedf77400d98100",
+    "Artistic-1.0-Perl": "ddb49d591ecc4f65a223b9f53f330918100c323532a653c090d21b38e35a3a42",
+    "CC0-1.0": "96bdc7f63190fb4bd1ae584b890300ed7517d858b34c945642a3b9b2f1612a5f",
+    "GFDL-1.2": "37db86be8f16e9b8dfb0d63e1698ad2e07d54f312494c1cb2dbdb4fa37487f0f",
+    "GFDL-1.3": "7befa86e5ee53162018d597eee81db6c727f3e64fab4641af93e19deab1807b4",
+    "GPL-1.0": "9e12a40a9b22c45d116f19e1746b08ea0b853519de3e03ceb780f2a36d5f388c",
+    "GPL-2.0": "b866f5427b78991db8012466b32f51c907f5e974fde5129a47372d0d0552e3a1",
+    "GPL-3.0": "59a779feaae4de539260be3c8adb19c287a771586d211e12d93932777da37349",
+    "LGPL-2.0": "b4114daa3dfa52e27e78b2c4e17acd58bf4381e812762f4ded0bcb8eabd1092c",
+    "LGPL-2.1": "294fb9ec58649c7eb0cf90fc2900ac1b28b82fb6da9d40d7599d6b7d399d4d2e",
+    "LGPL-3.0": "aae2b222477171fb64e298e7965e768a9a6f85320646b266c94399ac029d42be",
+    "MPL-1.1": "f77c59051c0127d677dcce7ba0d4733294974749a7b4155250912498d92767d6",
+    "MPL-2.0": "95f6a0d094cf3da6a140310541c7b576789031b600469b70877b34f97918e4c9",
+}
+
 COPYRIGHT_LINE = r"^[^a-z0-9]*(copyright|\(c\)|©)"
 NOT_WORDS = r"[^\p{L}\p{N}]+"
 
@@ -79,17 +104,21 @@ def with_digest(rows: DataFrame) -> DataFrame:
     return lines.withColumn("digest", F.sha2(F.array_join("lines", " "), 256))
 
 
-def known_digests(known: DataFrame) -> DataFrame:
-    digests = with_digest(known.select("license_id", "text")).where(F.size("lines") > 0)
+def known_digests(known: DataFrame | None, spark: SparkSession) -> DataFrame:
+    """digest and license_id of the known texts, or of those that this module knows."""
+    digests = with_digest((known if known is not None else known_texts(spark)).select("license_id", "text")).where(F.size("lines") > 0).select("license_id", "digest")
+    if known is None:
+        digests = digests.unionByName(spark.createDataFrame(sorted(KNOWN_DIGESTS.items()), "license_id string, digest string"))
     return digests.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
 def scan_licenses(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, digest, license_id (of the whole text, or null), notices (sorted ids of lines that are known texts)."""
-    digests = known_digests(known if known is not None else known_texts(docs.sparkSession))
-    rows = with_digest(docs.select("doc_id", "text"))
-    whole = rows.select("doc_id", "digest").join(digests, "digest", "left")
-    lines = rows.select("doc_id", F.explode(F.array_distinct(F.transform("lines", lambda line: F.sha2(line, 256)))).alias("digest"))
-    notices = lines.join(digests, "digest").groupBy("doc_id").agg(F.array_sort(F.collect_set("license_id")).alias("notices"))
-    both = whole.alias("w").join(notices.alias("n"), F.col("w.doc_id").eqNullSafe(F.col("n.doc_id")), "left")
-    return both.select("w.doc_id", "digest", "license_id", F.coalesce("notices", F.array().cast("array<string>")).alias("notices"))
+    asked = lambda whole, digest: F.struct(F.lit(whole).alias("whole"), digest.alias("digest"))
+    each = F.transform(F.array_distinct("lines"), lambda line: asked(False, F.sha2(line, 256)))
+    rows = with_digest(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")))
+    parts = rows.select("row", "doc_id", F.explode(F.concat(F.array(asked(True, F.col("digest"))), each)).alias("a")).select("row", "doc_id", "a.whole", "a.digest")
+    found = parts.join(known_digests(known, docs.sparkSession), "digest", "left").where(F.col("whole") | F.col("license_id").isNotNull())
+    own = lambda c, whole: F.when(F.col("whole") if whole else ~F.col("whole"), F.col(c))
+    gathered = found.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max(own("digest", True)).alias("digest"), F.max(own("license_id", True)).alias("license_id"), F.array_sort(F.collect_set(own("license_id", False))).alias("notices"))
+    return gathered.select("doc_id", "digest", "license_id", "notices")

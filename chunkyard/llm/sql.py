@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from chunkyard.llm.chat import Template
-from chunkyard.llm.licenses import EQUAL_WORDS, KNOWN_NOTICES, KNOWN_TEXTS
+from chunkyard.llm.licenses import EQUAL_WORDS, KNOWN_DIGESTS, KNOWN_NOTICES, KNOWN_TEXTS
 
 
 def quoted(text: str) -> str:
@@ -15,6 +15,8 @@ def quoted(text: str) -> str:
 _EQUAL = "MAP {" + ", ".join(f"{quoted(a)}: {quoted(b)}" for a, b in EQUAL_WORDS.items()) + "}"
 _KNOWN = ", ".join(f"({quoted(i)}, {quoted(t)})" for i, t in sorted({**KNOWN_TEXTS, **KNOWN_NOTICES}.items()))
 
+_DIGESTS = ", ".join(f"({quoted(i)}, {quoted(d)})" for i, d in sorted(KNOWN_DIGESTS.items()))
+
 
 def _canonical(text: str) -> str:
     kept = f"list_filter(string_split(lower(coalesce({text}, '')), chr(10)), lambda x: NOT regexp_matches(x, '^[^a-z0-9]*(copyright|\\(c\\)|©)'))"
@@ -22,7 +24,7 @@ def _canonical(text: str) -> str:
     return f"list_transform({spaced}, lambda x: array_to_string(list_transform(string_split(x, ' '), lambda w: coalesce({_EQUAL}[w], w)), ' '))"
 
 
-LICENSES = f"""WITH known AS (SELECT min(license_id) AS license_id, sha256(array_to_string(l, ' ')) AS digest FROM (SELECT license_id, {_canonical("text")} AS l FROM (VALUES {_KNOWN}) AS v(license_id, text)) WHERE len(l) > 0 GROUP BY 2),
+LICENSES = f"""WITH known AS (SELECT min(license_id) AS license_id, digest FROM (SELECT license_id, sha256(array_to_string(l, ' ')) AS digest FROM (SELECT license_id, {_canonical("text")} AS l FROM (VALUES {_KNOWN}) AS v(license_id, text)) WHERE len(l) > 0 UNION ALL SELECT * FROM (VALUES {_DIGESTS}) AS w(license_id, digest)) GROUP BY digest),
 d AS (SELECT doc_id, {_canonical("text")} AS l FROM documents),
 n AS (SELECT doc_id, string_agg(DISTINCT license_id, ',' ORDER BY license_id) AS notices FROM (SELECT doc_id, sha256(unnest(l)) AS digest FROM d) JOIN known USING (digest) GROUP BY doc_id)
 SELECT d.doc_id, sha256(array_to_string(l, ' ')) AS digest, license_id, coalesce(notices, '') AS notices FROM d LEFT JOIN known ON known.digest = sha256(array_to_string(l, ' ')) LEFT JOIN n ON n.doc_id = d.doc_id"""

@@ -100,7 +100,7 @@ def log10_by_hand(trained, text, depth):
         children = sum(weighted([x for x in bits if x[0][depth - 1 - d] == s], depth, d + 1) for s in {c[depth - 1 - d] for c, _ in bits})
         if not below:  # no training text went this way
             return own
-        w = 1 / (1 + math.exp(children - kt))
+        w = 1 / (1 + math.exp(min(700, children - kt)))
         return w * own + (1 - w) * chance(below, context, d + 1)
 
     total, t = 0.0, mark(text)

@@ -114,19 +114,19 @@ class Engine:
         self.spark.createDataFrame([job], JOB).select(F.lit("manual").alias("provider"), F.lit("trigger").alias("event"), F.current_timestamp().cast("double").alias("at"), F.to_json(F.struct("*")).alias("body")).write.mode("append").json(events_dir)
 
     def refresher(self, files_of: Callable[[str, str], DataFrame | str | None]) -> Refresher:
-        """The streaming loop over this engine.  ``files_of`` gives a repository's files at a branch (a table or a folder), or None
-        where there are none; such a repository stays unfinished."""
+        """The streaming loop over this engine.  ``files_of`` gives a repository's files at a branch (a table or a folder), alone or
+        with their commit, or None where there are none; such a repository stays unfinished."""
 
         def refresh(todo: DataFrame) -> DataFrame:
             done = []
             for job in todo.toLocalIterator():  # a row a repository of the batch; each is a job of its own over the cluster
-                files = files_of(job.repo, job.branch)
+                files, commit = self._checked_out(files_of(job.repo, job.branch), job.after_sha)
                 if files is None:
                     continue
                 names = job.changed_files
                 changed = None if names is None else self.spark.createDataFrame([(n, "modified") for n in names], "path string, change string")
-                self.ingest(files, job.repo, job.branch, job.after_sha or "", changed)
-                done.append((job.repo, job.after_sha))
+                self.ingest(files, job.repo, job.branch, commit or "", changed)
+                done.append((job.repo, commit))
             return self.spark.createDataFrame(done, "repo string, sha string")
 
         def delete(gone: DataFrame) -> None:
@@ -135,13 +135,17 @@ class Engine:
 
         return Refresher(self.spark, self.states, refresh, delete)
 
+    @staticmethod
+    def _checked_out(found, commit: str | None) -> tuple:
+        return found if isinstance(found, tuple) else (found, commit)
+
     def recover(self, files_of: Callable[[str, str], DataFrame | str | None]) -> list[str]:
         """Run again, in full, what was begun and not done; the repositories that are done now."""
         loop, done = self.refresher(files_of), []
         for r in unfinished(loop.state()).toLocalIterator():
-            files = files_of(r.repo, "main")
+            files, commit = self._checked_out(files_of(r.repo, "main"), r.sha)
             if files is not None:
-                self.ingest(files, r.repo, commit_sha=r.sha or "")
-                done.append((r.repo, r.sha))
+                self.ingest(files, r.repo, commit_sha=commit or "")
+                done.append((r.repo, commit))
         loop.record(self.spark.createDataFrame(done, "repo string, sha string"))
         return [repo for repo, _ in done]

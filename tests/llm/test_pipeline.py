@@ -51,6 +51,33 @@ def test_stages_one_after_another(spark, tmp_path):
         assert list(memoryview(bytes(r.ids_le)).cast("I")) == library.encode(texts[r.doc_id].text or "", add_special_tokens=False).ids
 
 
+def test_stages_take_odd_rows(spark, tmp_path):
+    """Null, repeated and clashing ids, null texts, columns of names that stages might want, an empty table."""
+    root = str(tmp_path)
+    tables(spark, root)
+    words = "amber birch cedar delta ember fjord grove heath inlet jetty knoll larch marsh north ocean piper quarry ridge shore thorn".split()
+    text = lambda k: "The harbour of the town is old. " + " ".join(words[(i * k + 3 * k) % 20] for i in range(120)) + "."
+    rows = [(None, text(1)), (None, text(3)), (None, text(3)), (5, text(7)), (5, text(9)), (5, text(9)), (6, text(7)), (7, None), (8, None), (9, text(11) + " Mail a.b@c-d.org now."), (10, text(13) + " " + ITEM)]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or ""), "k", 1, "p", "h") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, _key string, salt_ int, _pieces string, hash string")
+    docs, columns = odd, odd.columns
+    for name, step in corpus_pipeline.STAGES[1:]:
+        out = step(spark, docs, root)
+        if name != "encoding":
+            assert out.columns == columns
+            docs = stage(out, name)
+        else:
+            coded = out.collect()
+    kept = sorted(((r.doc_id, r.text) for r in docs.collect()), key=str)
+    assert kept == sorted([(None, text(1)), (None, text(3)), (5, text(7)), (5, text(9)), (7, None), (9, text(11) + " Mail [EMAIL] now.")], key=str)
+    assert len(coded) == len(kept) and {(r._key, r.salt_, r._pieces, r.hash) for r in docs.collect()} == {("k", 1, "p", "h")}
+    assert all(r.n_chars == len(r.text) for r in docs.collect() if r.text is not None)
+    good = corpus_pipeline.quality(spark, odd, root)
+    assert good.columns == columns and all((r.doc_id, r.text) in rows for r in good.collect())
+    empty = odd.limit(0)
+    for name, step in corpus_pipeline.STAGES:
+        assert step(spark, empty, root).count() == 0, name
+
+
 def test_stages_are_named_operators():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "personal_data", "encoding"]
     known = __spark_entry__.queries()

@@ -122,14 +122,14 @@ def bm25_doc_weights(spark, sf_dir):
     return bm25.weights(posted, bm25.idf_table(bm25.document_frequency(posted), stats), stats).select("doc_id", "token", "weight")
 
 
-_OLD = f"{corpus_sql('(SELECT * FROM documents WHERE doc_id % 2 = 0)', 'a')}, {corpus_sql('(SELECT * FROM documents WHERE doc_id % 4 = 1)', 'b')}"
+_OLD = f"{corpus_sql('(SELECT * FROM documents WHERE doc_id % 2 = 0)', 'a')}, {corpus_sql('(SELECT * FROM documents WHERE doc_id % 2 <> 0)', 'b')}"
 
 
 @query(f"WITH {_OLD} SELECT token, round(coalesce(bidf.idf, aidf.idf), 6) AS idf FROM aidf FULL JOIN bidf USING (token)")
 def bm25_stale_idf(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     old, _ = bm25.refit(None, docs.where("doc_id % 2 = 0"), mode="last_batch")
-    new, _ = bm25.refit(old, docs.where("doc_id % 4 = 1"), mode="last_batch")
+    new, _ = bm25.refit(old, docs.where("doc_id % 2 <> 0"), mode="last_batch")
     return new.select("token", F.round("idf", 6).alias("idf"))
 
 
@@ -411,12 +411,12 @@ def called_by_hops(spark, sf_dir):
 
 
 @query("""SELECT doc_id, 'new' AS batch, 2::BIGINT AS version FROM documents WHERE doc_id % 3 = 0
-UNION ALL SELECT doc_id, 'old', 0 FROM documents WHERE doc_id % 2 = 0 AND doc_id % 3 <> 0""")
+UNION ALL SELECT doc_id, 'old', 0 FROM documents WHERE doc_id % 3 <> 0""")
 def upsert_last_wins(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select("doc_id")
     row = lambda rows, batch, version: rows.select("doc_id", F.lit(batch).alias("batch"), F.lit(version).cast("long").alias("version"))
     new = docs.where("doc_id % 3 = 0")
-    return index.upserted(row(docs.where("doc_id % 2 = 0"), "old", 0), row(new, "new", 1).unionByName(row(new, "new", 2)), "doc_id", F.col("version"))
+    return index.upserted(row(docs, "old", 0), row(new, "new", 1).unionByName(row(new, "new", 2)), "doc_id", F.col("version"))
 
 
 @query("SELECT doc_id, source FROM documents WHERE source NOT IN (SELECT DISTINCT source FROM documents WHERE doc_id % 50 = 0)")

@@ -57,17 +57,18 @@ def byte_symbols() -> list[str]:
     return table
 
 
-def merge_by_tree(symbols: list[int], rank_of: dict[int, int], made: list[int]) -> list[int]:
+def merge_by_tree(symbols: list[int], rank_of: dict[int, int], made: list[int], bits: int) -> list[int]:
     """The symbols after all merges.  A leaf is a pair's rank and its place in one number, so the least
     is the leftmost pair of the lowest rank.  Each level has the least of every FAN nodes below, up to a
-    level of FAN nodes or fewer, whose least is the root; neighbours are a doubly linked list."""
+    level of FAN nodes or fewer, whose least is the root; neighbours are a doubly linked list.  A pair's key
+    is its left symbol, and its right one in ``bits`` bits."""
     pairs = len(symbols) - 1
     if pairs < 1:
         return symbols
     shift = pairs.bit_length()
     mask = (1 << shift) - 1
     rank = rank_of.get
-    leaf = [NO_RANK if (r := rank(a << 17 | b)) is None else r << shift for a, b in zip(symbols, symbols[1:])]  # noqa: B905
+    leaf = [NO_RANK if (r := rank(a << bits | b)) is None else r << shift for a, b in zip(symbols, symbols[1:])]  # noqa: B905
     leaf = [r + place for place, r in enumerate(leaf)]
     levels = [leaf]
     while len(levels[-1]) > FAN:
@@ -83,14 +84,14 @@ def merge_by_tree(symbols: list[int], rank_of: dict[int, int], made: list[int])
         right = after[at] = after[gone]
         if right >= 0:
             before[right] = at
-            r = rank(now << 17 | symbols[right])
+            r = rank(now << bits | symbols[right])
             leaf[at] = NO_RANK if r is None else r << shift | at
             leaf[gone] = NO_RANK
         else:
             leaf[at] = NO_RANK
         left = before[at]
         if left >= 0:
-            r = rank(symbols[left] << 17 | now)
+            r = rank(symbols[left] << bits | now)
             leaf[left] = NO_RANK if r is None else r << shift | left
         if len(levels) > 1:
             touched = {max(left, 0) // FAN, at // FAN, gone // FAN} if right >= 0 else {max(left, 0) // FAN, at // FAN}
@@ -111,10 +112,11 @@ class WordBpe:
         self.vocabulary: dict[str, int] = model["vocab"]
         self.special = {t["content"]: t["id"] for t in file["added_tokens"]}
         self.token = {i: t for t, i in {**self.vocabulary, **self.special}.items()}
+        self.bits = max(self.token).bit_length()
         self.rank_of: dict[int, int] = {}
         self.made: list[int] = []
         for rank, (left, right) in enumerate(model["merges"]):
-            self.rank_of[self.vocabulary[left] << 17 | self.vocabulary[right]] = rank
+            self.rank_of[self.vocabulary[left] << self.bits | self.vocabulary[right]] = rank
             self.made.append(self.vocabulary[left + right])
         self.inner = [self.vocabulary[s] for s in byte_symbols()]
         self.last = [self.vocabulary[s + self.suffix] for s in byte_symbols()]
@@ -130,7 +132,7 @@ class WordBpe:
 
     def word(self, word: str) -> bytes:
         raw = word.encode("utf-8")
-        ids = merge_by_tree([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]], self.rank_of, self.made)
+        ids = merge_by_tree([*map(self.inner.__getitem__, raw[:-1]), self.last[raw[-1]]], self.rank_of, self.made, self.bits)
         return struct.pack(f"<{len(ids)}I", *ids)
 
     def recall(self, chunk: str) -> bytes:

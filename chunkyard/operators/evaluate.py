@@ -58,8 +58,8 @@ def false_hits(rows: DataFrame, *kept: str) -> DataFrame:
 
 
 def report(measures: DataFrame, failures: DataFrame, title: str, shown: int = 10) -> str:
-    """A Markdown report; the metrics are a few rows and the failures at most ``shown``."""
+    """A Markdown report; the metrics are at most 1,000 rows and the failures at most ``shown``."""
     head = measures.columns
-    table = [f"| {' | '.join(head)} |", "|" + "-|" * len(head), *(f"| {' | '.join(str(v) for v in r)} |" for r in measures.collect())]
+    table = [f"| {' | '.join(head)} |", "|" + "-|" * len(head), *(f"| {' | '.join(str(v) for v in r)} |" for r in measures.limit(1000).collect())]
     bad = failures.select(X.markdown_cell(F.col("query")).alias("query"), X.markdown_cell(F.to_json("retrieved")).alias("retrieved")).limit(shown).collect()
     return "\n".join([f"# {title}", "", *table, "", "## Not found", "", "| query | retrieved |", "|-|-|", *(f"| {r.query} | {r.retrieved} |" for r in bad)]) + "\n"

@@ -43,7 +43,7 @@ def discard(spark: SparkSession) -> bool:
 def spread(df: DataFrame) -> DataFrame:
     """As many partitions as cores, for a table of fewer files: a file of one row group would be one task, whatever is computed from it."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df
+    return df.repartition(cores) if len(df._jdf.inputFiles()) < cores else df  # only counted, never listed here
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -27,7 +27,7 @@ from chunkyard.llm.common import map_slices, text_rows
 
 SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids_le", T.BinaryType()), T.StructField("decoded", T.StringType())])
 #: Words in each of the two generations of a worker's memory.
-REMEMBERED_WORDS = 250_000
+REMEMBERED_WORDS = 100_000
 #: Longer ones are encoded anew each time.
 REMEMBERED_CHARS = 200
 NO_RANK = 1 << 62

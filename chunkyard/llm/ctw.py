@@ -80,10 +80,13 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
 
 
 def _settled(zeros: np.ndarray, ones: np.ndarray, product: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Nodes' log of the weighted probability, P(1), and the weight of that; ``product`` is the children's."""
+    """Nodes' log of the weighted probability, P(1) or minus P(0), and the weight of that; ``product`` is the children's.
+
+    The lesser of P(1) and P(0) is kept: in 32 bits the greater is 1 from some ten million bits on, and what is left of it 0.
+    """
     kt = log_gamma(ones + 0.5) + log_gamma(zeros + 0.5) - np.log(np.pi) - log_gamma(zeros + ones + 1.0)
     weight, weighted = (np.ones(len(kt)), kt) if product is None else (np.exp(-np.logaddexp(0, product - kt)), np.logaddexp(kt, product) - np.log(2))
-    return weighted, ((ones + 0.5) / (zeros + ones + 1.0)).astype(np.float32), weight.astype(np.float32)
+    return weighted, (np.where(ones <= zeros, ones + 0.5, -(zeros + 0.5)) / (zeros + ones + 1.0)).astype(np.float32), weight.astype(np.float32)
 
 
 def _up(keys: np.ndarray, order: int, *values: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -114,7 +117,7 @@ def grown(runs: np.ndarray, counts: np.ndarray, depth: int, least: int = 0) -> t
 
 
 class ContextTree:
-    """For each order: sorted keys (context, place in the byte's decision tree), P(1) there and the weight of that estimate."""
+    """For each order: sorted keys (context, place in the byte's decision tree), P(1) or minus P(0) there, whichever is less, and the weight of that estimate."""
 
     def __init__(self, depth: int, orders: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
         self.depth, self.orders = depth, orders
@@ -131,6 +134,7 @@ class ContextTree:
         for k in range(8):
             node = np.uint64(1 << k) | (symbol >> np.uint64(8 - k))
             bit = ((symbol >> np.uint64(7 - k)) & np.uint64(1)).astype(bool)
+            # The probability of the run's own bit, which keeps its places however close to 0 it is.
             p, have = np.full(len(runs), 0.5), np.zeros(len(runs), dtype=bool)
             for order in range(self.depth, -1, -1):
                 keys, one, weight = self.orders[order]
@@ -139,10 +143,12 @@ class ContextTree:
                 key = ((context & np.uint64((1 << 8 * order) - 1)) << np.uint64(8)) | node
                 at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
                 found = keys[at] == key
-                w = np.where(have, weight[at], 1.0)
-                p = np.where(found, w * one[at] + (1 - w) * p, p)
+                w = np.where(have, weight[at], np.float64(1))
+                lesser = one[at].astype(np.float64)
+                own = np.where(bit == (lesser >= 0), np.abs(lesser), 1 - np.abs(lesser))
+                p = np.where(found, w * own + (1 - w) * p, p)
                 have |= found
-            out += np.log10(np.where(bit, p, 1 - p))
+            out += np.log10(p)
         return out
 
 

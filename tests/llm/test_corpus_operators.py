@@ -80,6 +80,17 @@ def test_probabilities_sum_to_one_and_texts_are_ranked():
     assert np.allclose(scorer.score([b"the cat sat", b"the cat sat"]), [a, a])
 
 
+def test_what_was_seen_very_often_leaves_the_rest_a_probability():
+    runs, _ = ctw.runs_of([b"aaaa"], 3)
+    for often in (3e7, 3e9):
+        tree = ctw.ContextTree.grow(np.unique(runs), np.full(len(np.unique(runs)), often), 3)
+        base = int.from_bytes(b"aaa", "big") << 8
+        found = tree.log10_of(np.arange(256, dtype=np.uint64) + np.uint64(base))
+        assert np.isfinite(found).all() and math.isclose((10**found).sum(), 1, rel_tol=1e-5)
+        # 0x61 against 0x60: its last bit was always 1.
+        assert -math.log10(often) - 2 < found[0x60] < -math.log10(often) + 1
+
+
 def log10_by_hand(trained, text, depth):
     """A text's log10 probability after the definition: at each bit, every node on the context's path mixes its own
     estimate with what is below it, by how well each has explained the training bits."""

@@ -1,7 +1,9 @@
 """The light parsers, against trees made by hand; and chunks from them."""
 
+import duckdb
 import pytest
 
+import __spark_entry__
 from chunkyard.operators import braces, symbols
 
 
@@ -172,3 +174,24 @@ def test_chunks_of_a_class_and_a_long_function():
     long = "function big() {\n" + "".join(f"  function part{i}() {{\n    return call{i}(1);\n  }}\n" for i in range(100)) + "}\n"
     names = [c["name"] for c in symbols.Chunker(long, "code", "javascript").chunks(symbols.all_parsers())]
     assert names[:3] == ["[file_context]", "big[header]", "big.part0"] and names[-1] == "big.part99"
+
+
+@pytest.mark.parametrize("language, code", [("javascript", 'function long() {\n  return words("%s");\n}\n'), ("go", 'func long() string {\n\treturn words("%s")\n}\n')])
+def test_a_long_symbol_is_a_chunk_too(language, code):
+    text = code % ("x" * 4000)
+    made = {c["name"]: c for c in symbols.Chunker(text, "code", language).chunks(symbols.all_parsers())}
+    assert made["long"]["text"] == text.strip()
+    assert "long" not in {c["name"] for c in symbols.Chunker(text, "code", language, keep_long=False).chunks(symbols.all_parsers())}
+
+
+def test_every_symbol_and_context_of_every_document_as_in_sql(spark, tmp_path):
+    """Sizes around the limits of a symbol and of a file's context, many lines, no text."""
+    sized = lambda n, more: "\n".join(["x" * n, *["b"] * more])
+    rows = [*((3 * j + k, sized(n, 1)) for j, n in enumerate([*range(1480, 1560), *range(3150, 3170)]) for k in range(3)), *((900 + k, sized(1, m)) for k, m in enumerate([300, 300, 300, 0, 0, 0, 87, 88, 89])), (990, None), (991, None), (992, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "'s' AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    named = "path name parent language start_line calls".split()
+    theirs = sorted(db.execute(f"SELECT {', '.join(named)} FROM ({__spark_entry__.oracle_sql()['symbols_of_other_languages']})").fetchall())
+    mine = sorted(tuple(r) for r in __spark_entry__.queries()["symbols_of_other_languages"](spark, str(tmp_path)).select(*named).collect())
+    assert mine == theirs and {r[0] for r in mine} == {f"s/m{i}{('.js', '.java', '.go')[i % 3]}" for i, _ in rows}

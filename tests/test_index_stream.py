@@ -1,9 +1,11 @@
 import json
 
+import duckdb
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import __spark_entry__
 from chunkyard.engine import Engine
 from chunkyard.plans.search import SearchRequest
 from chunkyard.sources import files as sources
@@ -124,3 +126,15 @@ def test_sessions_and_windows(spark):
     events = spark.createDataFrame(rows, "u int, t string, event_type string, value double").withColumn("ts", F.to_timestamp("t"))
     assert sorted((r.session, r.n) for r in refresh.idle_sessions(events, "u", "ts").collect()) == [(0, 2), (1, 1)]
     assert sorted((r.event_type, r.n, r.total) for r in refresh.tumbling_counts(events).collect()) == [("a", 2, 3.0), ("b", 1, 3.0)]
+
+
+def test_files_of_a_job_alone_are_named_once(spark, tmp_path):
+    """Repositories of one, two and three jobs against the registered SQL; 106 and 211 name one file twice, 97 and 194 none."""
+    rows = [(i, i // n + 1000 * n, "push") for n in (1, 2, 3) for i in (*range(60 * n, 60 * n + 30), 97, 106, 194, 211)]
+    spark.createDataFrame(rows, "event_id long, user_id long, event_type string").write.parquet(f"{tmp_path}/events.parquet")
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    named = "repo n_jobs branch files before_sha".split()
+    theirs = db.execute(f"SELECT {', '.join(named)} FROM ({__spark_entry__.oracle_sql()['job_coalesce']})").fetchall()
+    mine = [tuple(r) for r in __spark_entry__.queries()["job_coalesce"](spark, str(tmp_path)).select(*named).collect()]
+    assert sorted(mine, key=str) == sorted(theirs, key=str)

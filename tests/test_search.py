@@ -1,11 +1,14 @@
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from chunkyard.operators import bm25, dense, describe, evaluate, fusion, graph
+from chunkyard.functions import text as X
+from chunkyard.operators import best, bm25, dense, describe, evaluate, fusion, graph
 from chunkyard.plans import search as plan
 
 DOCS = [(1, "alpha beta beta"), (2, "alpha gamma"), (3, ""), (4, "delta")]
@@ -117,3 +120,60 @@ def test_evaluation(spark):
     assert evaluate.metrics(evaluate.judged(answers, evaluate.file_match)).first().hits == 1
     assert evaluate.metrics(judged.limit(0)).first().total == 0
     assert "| q2 |" in evaluate.report(evaluate.metrics(judged), judged.where("not hit"), "T")
+
+
+ODD = ["", None, "aB ABc ABCd aBCdE HTTPServer2Go x1Y2 éA Aé the The THE", "fooBar", "A", "Ab", "bC", "C", "ABC", "D", "def", "xxxYZa", "aaB", "Ccc dDD", "E f", "ZZ", "Za", "don't i18n\n__init__", "日本 go 中go"]
+
+
+def test_counts_of_a_batch_are_those_of_the_expression(spark):
+    c = bm25.Counts(pa.array(ODD).slice(1))
+    got = {(int(i), c.words[int(t)].as_py(), int(n)) for i, t, n in zip(c.text, c.token, c.tf, strict=True)}
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ODD[1:])], "doc_id long, text string")
+    assert got == {tuple(r) for r in bm25.postings(bm25.tokenized(rows)).select("doc_id", "token", "tf").collect()}
+    assert c.length.tolist() == [r.n for r in rows.select("doc_id", F.size(X.tokens(F.col("text"))).alias("n")).orderBy("doc_id").collect()]
+
+
+def test_counts_are_made_within_rows_and_nothing_is_shuffled_by_document(spark):
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(ODD)], "doc_id long, text string")
+    plan = bm25.counted(rows)._jdf.queryExecution().toString()
+    assert "hashpartitioning(doc_id" not in plan and "HashAggregate" not in plan
+    assert "hashpartitioning(doc_id" not in bm25.frequencies(rows)._jdf.queryExecution().toString()
+
+
+def test_rows_of_one_document_are_added_up(spark):
+    rows = spark.createDataFrame([(1, "red fox red"), (1, "red fox red"), (1, "one more fox"), (2, "blue fox"), (None, "red"), (None, "red")], "doc_id long, text string")
+    expected = sorted(map(tuple, bm25.postings(bm25.tokenized(rows)).collect()), key=str)
+    assert sorted(map(tuple, bm25.counted(rows).where(F.col("token") != bm25.MARK).collect()), key=str) == expected
+    found, stats = bm25.statistics(bm25.frequencies(rows))
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, bm25.document_frequency(bm25.postings(bm25.tokenized(rows))).collect()))
+    assert tuple(stats.first()) == tuple(bm25.corpus_stats(bm25.tokenized(rows)).first())
+
+
+def test_search_in_batches_is_the_search_by_joins(spark, monkeypatch):
+    """Ties, documents that are left out, queries without tokens, cells and waiting rows in small steps."""
+    words = "red green blue fox dog cat sun moon".split()
+    rows = [(i, " ".join(words[(i * j + j) % (3 + i % 6)] for j in range(1, 2 + i % 7))) for i in range(300)]
+    corpus = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, f"{words[i % 8]} {words[i % 3]} nowhere") for i in range(20)] + [(90, ""), (91, None), (92, "unseen")], "query_id long, text string")
+    for keep in (None, F.col("doc_id") % 3 == 1):
+        by = lambda: sorted(map(tuple, bm25.search(corpus, asked, 4, keep).select("query_id", "rank", "doc_id", "score").collect()))
+        monkeypatch.undo()
+        whole = by()
+        monkeypatch.setattr(bm25, "MOST_ASKED", 3)
+        joined = by()
+        monkeypatch.setattr(bm25, "MOST_ASKED", 1000)
+        monkeypatch.setattr(bm25, "CELLS", 64)
+        monkeypatch.setattr(best, "WAITING", 1)
+        assert whole == joined == by() and len(whole) == 80
+
+
+def test_best_rows_of_a_task_are_bounded_and_exact():
+    rng = np.random.default_rng(1)
+    found, rows = best.Best(7, 3, pa.int64()), []
+    for _ in range(40):
+        query, score, key = rng.integers(0, 7, 50), rng.integers(0, 9, 50) / 4, rng.integers(0, 10**6, 50)
+        rows += zip(query.tolist(), score.tolist(), key.tolist(), strict=True)
+        found.add(query, score, pa.array(key))
+    q, s, k = found.settle()
+    expected = [r for i in range(7) for r in sorted((r for r in rows if r[0] == i), key=lambda r: (-r[1], r[2]))[:3]]
+    assert list(zip(q.tolist(), s.tolist(), k.to_pylist(), strict=True)) == expected

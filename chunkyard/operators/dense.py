@@ -1,15 +1,21 @@
 """Dense retrieval: exact cosine top-k.
 
 Queries are few and checked: they are broadcast while their vectors fit ``BROADCAST_BYTES``, and in
-blocks of queries beyond that, so the vectors stay where they are and never shuffle.
+blocks of queries beyond that, so the vectors stay where they are and never shuffle.  A task makes at most
+``best.CELLS`` scores at once and keeps k rows a query, whatever the number of queries and vectors.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from chunkyard.operators.best import CELLS, Best, rounded
 
 BROADCAST_BYTES = 32 << 20
 
@@ -44,40 +50,57 @@ def top_k_sql(vectors: DataFrame, queries: DataFrame, k: int, query: str = "quer
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, query: str = "query_id", key: str = "vec_id", places: int = 6, block_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """By matrix products in Arrow batches: each batch keeps k rows a query, then the window picks k of those."""
+    """By matrix products in Arrow batches: each task keeps k rows a query, then the window picks k of those."""
     size = queries.agg(F.sum(8 * F.size("vector"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
     keyed = queries.select(query, "vector", F.pmod(F.xxhash64(query), F.lit(blocks)).alias("block"))
     out = None
     for b in range(blocks):
         rows = keyed.where(F.col("block") == b).select(query, "vector").toLocalIterator()
-        part = _block(vectors, [(r[0], list(r[1])) for r in rows], k, query, key, places, queries.schema[query].dataType.simpleString())
+        part = _block(vectors, [(r[0], list(r[1])) for r in rows], k, query, key, places, queries.schema[query].dataType)
         out = part if out is None else out.unionByName(part)
     return ranked(out, k, query, key)
 
 
-def _block(vectors: DataFrame, asked: list[tuple], k: int, query: str, key: str, places: int, of: str) -> DataFrame:
-    ids = [i for i, _ in asked]
-    matrix = np.array([v for _, v in asked], dtype=np.float64) if asked else np.zeros((0, 1))
-    shipped = vectors.sparkSession.sparkContext.broadcast((ids, matrix))
+def _matrix(vectors: pa.Array, width: int) -> np.ndarray:
+    """A row for each vector; zeros for those that are null, of another length or have a null."""
+    out = np.zeros((len(vectors), width))
+    fits = pc.fill_null(pc.equal(pc.list_value_length(vectors), width), False)
+    flat = vectors.filter(fits).flatten()
+    if width and len(flat):
+        out[fits.to_numpy(zero_copy_only=False)] = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+        if flat.null_count:
+            out[np.isnan(out).any(1)] = 0
+    return out
+
+
+def block_of(ids: list, asked: np.ndarray, k: int, schema: pa.Schema, places: int):
+    """From batches of keys and vectors to the k best of these queries in all of them."""
 
     def run(batches):
-        ids, q = shipped.value
-        qn = np.sqrt((q * q).sum(1))
-        for batch in batches:
-            if not len(ids):
-                continue
-            for at in range(0, batch.num_rows, 4096):
-                part = batch.slice(at, 4096)
-                keys = np.array(part.column(0).to_pylist())
-                rows = [v if v is not None and len(v) == q.shape[1] else [0.0] * q.shape[1] for v in part.column(1).to_pylist()]
-                m = np.array(rows, dtype=np.float64)
-                length = np.sqrt((m * m).sum(1))[None, :] * qn[:, None]
-                score = np.where(length > 0, (q @ m.T) / np.where(length > 0, length, 1), 0.0)
-                score = np.round(score, places)
-                order = np.lexsort([np.broadcast_to(keys, score.shape), -score], axis=1)[:, :k]
-                hit = np.repeat(np.arange(len(ids)), order.shape[1])
-                yield pa.RecordBatch.from_pydict({query: [ids[i] for i in hit], key: keys[order.ravel()].tolist(), "score": score[hit, order.ravel()].tolist()})
-
-    kind = vectors.schema[key].dataType.simpleString()
-    return vectors.select(key, "embedding").where(F.col(key).isNotNull()).mapInArrow(run, f"{query} {of}, {key} {kind}, score double")
+        norms, best, step = np.sqrt((asked * asked).sum(1)), Best(len(ids), k, schema.field(1).type), max(1, CELLS // max(1, len(ids)))
+        for batch in batches if len(ids) else ():
+            for at in range(0, batch.num_rows, step):
+                keys = batch.column(0).slice(at, step)
+                m = _matrix(batch.column(1).slice(at, step), asked.shape[1])
+                length = np.sqrt((m * m).sum(1))[:, None] * norms[None, :]
+                score = m @ asked.T
+                np.divide(score, length, out=score, where=length > 0)
+                score[length == 0] = 0
+                score = rounded(score, places)
+                row, hit = np.nonzero(score >= best.least)
+                best.add(hit, score[row, hit], keys.take(pa.array(row)))
+        number, score, keys = best.settle()
+        for at in range(0, len(number), 10_000):
+            part = slice(at, at + 10_000)
+            yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in number[part].tolist()], schema.field(0).type), keys[part], pa.array(score[part])], schema=schema)
+
+    return run
+
+
+def _block(vectors: DataFrame, asked: list[tuple], k: int, query: str, key: str, places: int, of: T.DataType) -> DataFrame:
+    matrix = np.array([v for _, v in asked], dtype=np.float64) if asked else np.zeros((0, 1))
+    shipped = vectors.sparkSession.sparkContext.broadcast(([i for i, _ in asked], matrix))
+    schema = T.StructType([T.StructField(query, of), T.StructField(key, vectors.schema[key].dataType), T.StructField("score", T.DoubleType())])
+    arrow = to_arrow_schema(schema)
+    return vectors.select(key, "embedding").where(F.col(key).isNotNull()).mapInArrow(lambda batches: block_of(*shipped.value, k, arrow, places)(batches), schema)

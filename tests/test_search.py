@@ -1,4 +1,5 @@
 import math
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -177,3 +178,18 @@ def test_best_rows_of_a_task_are_bounded_and_exact():
     q, s, k = found.settle()
     expected = [r for i in range(7) for r in sorted((r for r in rows if r[0] == i), key=lambda r: (-r[1], r[2]))[:3]]
     assert list(zip(q.tolist(), s.tolist(), k.to_pylist(), strict=True)) == expected
+
+
+def test_memory_of_the_dense_search_does_not_grow_with_the_queries(spark):
+    """2,000 queries against a batch of 10,000 vectors would be 160 MB of scores at once, and as much again to sort them."""
+    rng = np.random.default_rng(2)
+    asked, rows = rng.normal(size=(2000, 4)), rng.normal(size=(10_000, 4))
+    run = dense.block_of([*range(2000)], asked, 2, pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]), 6)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(10_000)), pa.array(list(rows))], names=["vec_id", "embedding"])
+    tracemalloc.start()
+    out = pa.Table.from_batches(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6 and out.num_rows == 4000
+    score = (asked / np.linalg.norm(asked, axis=1)[:, None]) @ (rows / np.linalg.norm(rows, axis=1)[:, None]).T
+    assert np.allclose(np.sort(np.array(out["score"]).reshape(2000, 2), axis=1), np.sort(score, axis=1)[:, -2:], atol=1e-6)

@@ -31,6 +31,8 @@ MARK = ""
 BATCH_BYTES = 8 << 20
 #: Counts of queries' tokens that are sent to every task; more are joined.
 MOST_ASKED = 200_000
+#: Tokens whose IDF is sent to every task; that of the others is joined.
+MOST_SENT = 200_000
 _BYTES = np.arange(256)
 _UPPER, _LOWER = (_BYTES >= 65) & (_BYTES <= 90), (_BYTES >= 97) & (_BYTES <= 122)
 _WORD = _UPPER | _LOWER | ((_BYTES >= 48) & (_BYTES <= 57))
@@ -179,6 +181,41 @@ def weights(posted: DataFrame, idf: DataFrame, stats: DataFrame, key: str = "doc
     return full.select(key, "token", weight.alias("weight")).where("weight > 0")
 
 
+def weights_of(docs: DataFrame, idf: DataFrame, stats: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``weights`` of all tokens of documents; ``idf`` (read more than once) has df too.  The most frequent tokens, up to MOST_SENT, are
+    weighted where they are counted, which is most of the rows; only those of rarer tokens are shuffled to meet their IDF."""
+    if repeated(docs, key):
+        return weights(counted(docs, key).where(F.col("token") != MARK), idf, stats, key)
+    level = F.floor(F.log2("df") * 16)
+    n_of = sorted(idf.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("n")).collect(), reverse=True)
+    sent = n_of[: int(np.searchsorted(np.cumsum([r["n"] for r in n_of]), MOST_SENT, "right"))]
+    rows = idf.where(level >= sent[-1]["level"]).collect() if sent else []
+    whole, avgdl = len(sent) == len(n_of), max(stats.first()["avgdl"], 1.0)
+    shipped = docs.sparkSession.sparkContext.broadcast((pa.array([r["token"] for r in rows], pa.string()), np.array([r["idf"] for r in rows] + [1.0])))
+    head = [T.StructField(key, docs.schema[key].dataType), T.StructField("token", T.StringType())]
+    near, far = T.StructType([*head, T.StructField("weight", T.DoubleType())]), T.StructType([*head, T.StructField("length", T.IntegerType()), T.StructField("tf", T.LongType())])
+
+    def rows_of(known: bool, arrow: pa.Schema):
+        def run(batches):
+            words, own = shipped.value
+            for batch in batches:
+                c = Counts(batch.column(1))
+                place = pc.fill_null(pc.index_in(c.words, words), -1).to_numpy().astype(np.int64)[c.token] if len(c.token) else np.empty(0, np.int64)
+                if known:
+                    w = _weight(own[place], avgdl, c.tf, c.length[c.text])
+                    at = np.flatnonzero((w > 0) & ((place >= 0) | whole))
+                    more = [pa.array(w[at])]
+                else:
+                    at = np.flatnonzero(place < 0)
+                    more = [pa.array(c.length[c.text[at]], pa.int32()), pa.array(c.tf[at], pa.int64())]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(c.text[at])), c.words.take(pa.array(c.token[at])), *more], schema=arrow)
+
+        return run
+
+    made = _mapped(docs.select(key, "text"), rows_of(True, to_arrow_schema(near)), near)
+    return made if whole else made.unionByName(weights(_mapped(docs.select(key, "text"), rows_of(False, to_arrow_schema(far)), far), idf, stats, key))
+
+
 def scores(query_weights: DataFrame, doc_weights: DataFrame, query: str = "query_id", key: str = "doc_id") -> DataFrame:
     """query, key, score of the documents that share a token."""
     joined = query_weights.select(query, "token", F.col("weight").alias("wq")).join(doc_weights, "token")

@@ -150,6 +150,24 @@ def test_rows_of_one_document_are_added_up(spark):
     assert tuple(stats.first()) == tuple(bm25.corpus_stats(bm25.tokenized(rows)).first())
 
 
+def test_weights_of_frequent_tokens_are_not_shuffled(spark, monkeypatch):
+    """The same weights whether all, some or no tokens are sent; nulls, empty texts, keys with several rows and tokens without IDF too."""
+    for rows in ([(i, t) for i, t in enumerate(ODD * 3)], [(None, "red"), (1, "red red fox")], [(1, "red fox"), (1, "red fox"), (2, "fox")], [(1, None)]):
+        corpus = spark.createDataFrame(rows, "doc_id long, text string")
+        tokened = bm25.tokenized(corpus)
+        posted, stats = bm25.postings(tokened), bm25.corpus_stats(tokened)
+        idf = bm25.idf_table(bm25.document_frequency(posted), stats).where("token <> 'fox'")
+        expected = sorted(map(tuple, bm25.weights(posted, idf, stats).collect()), key=str)
+        for n in (1, 3, 1000):
+            monkeypatch.setattr(bm25, "MOST_SENT", n)
+            assert sorted(map(tuple, bm25.weights_of(corpus, idf, stats).collect()), key=str) == expected
+    few = spark.createDataFrame([(i, f"red fox w{i}") for i in range(9)], "doc_id long, text string")
+    found, stats = bm25.statistics(bm25.frequencies(few))
+    monkeypatch.setattr(bm25, "MOST_SENT", 1000)
+    plan = bm25.weights_of(few, bm25.idf_table(found, stats), stats)._jdf.queryExecution().toString()
+    assert "Join" not in plan and "hashpartitioning" not in plan
+
+
 def test_search_in_batches_is_the_search_by_joins(spark, monkeypatch):
     """Ties, documents that are left out, queries without tokens, cells and waiting rows in small steps."""
     words = "red green blue fox dog cat sun moon".split()

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from chunkyard import queries
 from chunkyard.functions import text as X
 from chunkyard.operators import best, bm25, dense, describe, evaluate, fusion, graph
 from chunkyard.plans import search as plan
@@ -141,6 +142,13 @@ def test_counts_are_made_within_rows_and_nothing_is_shuffled_by_document(spark):
     assert "hashpartitioning(doc_id" not in bm25.frequencies(rows)._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("name", ["eval_hits"])
+def test_queries_cut_no_tokens_into_rows(spark, monkeypatch, name):
+    """A row for every token of every document is what took these queries' time and memory."""
+    monkeypatch.setattr(X, "tokens", lambda text: pytest.fail("tokens of texts as an array, to be exploded"))
+    queries.QUERIES[name](spark, "/root/testdata/sf0.001").write.format("noop").mode("overwrite").save()
+
+
 def test_rows_of_one_document_are_added_up(spark):
     rows = spark.createDataFrame([(1, "red fox red"), (1, "red fox red"), (1, "one more fox"), (2, "blue fox"), (None, "red"), (None, "red")], "doc_id long, text string")
     expected = sorted(map(tuple, bm25.postings(bm25.tokenized(rows)).collect()), key=str)

@@ -142,7 +142,7 @@ def test_counts_are_made_within_rows_and_nothing_is_shuffled_by_document(spark):
     assert "hashpartitioning(doc_id" not in bm25.frequencies(rows)._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("name", ["eval_hits", "oov_query_terms", "document_frequency", "term_frequency"])
+@pytest.mark.parametrize("name", ["eval_hits", "oov_query_terms", "document_frequency", "term_frequency", "idf_table"])
 def test_queries_cut_no_tokens_into_rows(spark, monkeypatch, name):
     """A row for every token of every document is what took these queries' time and memory."""
     monkeypatch.setattr(X, "tokens", lambda text: pytest.fail("tokens of texts as an array, to be exploded"))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import os
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.parquet as pq
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +23,8 @@ SLICE_ROWS = 512
 SLICE_BYTES = 16 << 20
 #: Bytes of an Arrow batch.
 BATCH_BYTES = 8 << 20
+#: Bytes of a row group that a Python worker writes.
+GROUP_BYTES = 4 << 20
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -34,6 +40,43 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return written(df, name)
 
 
+def stage_mapped(df: DataFrame, make: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str, name: str) -> DataFrame:
+    """``df.mapInArrow(make, schema)``, staged.  In a mounted folder (``file:``) the Python workers write the files.
+
+    So large values do not go through the JVM's heap, and the JVM forks no ``chmod``, as Hadoop's local file system does for
+    each file (until such a child has begun its program, the JVM's memory counts twice).  A file is its attempt's own; the driver
+    moves those of the tasks that ended well into the table's folder.  For any other store Spark writes.
+    """
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where = there.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(there).toUri()
+    if where.getScheme() != "file":
+        return stage(df.mapInArrow(make, schema), name)
+    made, arrow = where.getPath(), to_arrow_schema(T._parse_datatype_string(schema))
+    being = f"{made}.writing"
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        file, writer, held = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.parquet", None, []
+        for batch in make(batches):
+            held.append(batch)
+            if sum(b.nbytes for b in held) >= GROUP_BYTES:
+                writer = writer or pq.ParquetWriter(f"{being}/{file}", arrow, compression="none", use_dictionary=False, write_statistics=False)
+                writer.write_table(pa.Table.from_batches(held, arrow))
+                held = []
+        if held:
+            writer = writer or pq.ParquetWriter(f"{being}/{file}", arrow, compression="none", use_dictionary=False, write_statistics=False)
+            writer.write_table(pa.Table.from_batches(held, arrow))
+        if writer:
+            writer.close()
+            yield pa.RecordBatch.from_pydict({"file": [file]})
+
+    for folder in (made, being):
+        os.makedirs(folder)
+    for r in df.mapInArrow(write, "file string").collect():  # a row for each task
+        os.rename(f"{being}/{r['file']}", f"{made}/{r['file']}")
+    return spark.read.schema(schema).parquet(path)
+
+
 def file_system(path: str):
     """Arrow's file system for a path in the shared folder, and the path in it."""
     from pyarrow import fs

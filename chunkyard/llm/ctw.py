@@ -24,6 +24,7 @@ empty table gives no rows; a text longer than a block is a block of its own.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -35,7 +36,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chunkyard.llm.common import remainder, stage, text_rows
+from chunkyard.llm.common import remainder, stage_mapped, text_rows
 
 #: Bytes of context of every input's tree, and how many of them name a part.
 DEPTH = 5
@@ -286,7 +287,7 @@ def _texts(blob) -> list[bytes]:
 
 
 def gathered(rows: DataFrame) -> DataFrame:
-    """Blocks of documents: doc_ids (and whether there is one), whether each is held out, and the texts."""
+    """Blocks of documents, staged: doc_ids (and whether there is one), whether each is held out, and the texts."""
 
     def make(batches):
         ids, held, texts, size, number = [], [], [], 0, TaskContext.get().partitionId() << 24
@@ -312,11 +313,11 @@ def gathered(rows: DataFrame) -> DataFrame:
         if ids:
             yield row()
 
-    return rows.select("doc_id", "text", "held_out").mapInArrow(make, _BLOCKS)
+    return stage_mapped(rows.select("doc_id", "text", "held_out"), make, _BLOCKS, "blocks")
 
 
 def asked(blocks: DataFrame, depth: int, parts: int) -> DataFrame:
-    """A row for each block and part: distinct runs, or words, with their counts in the block's training texts."""
+    """A row for each block and part, staged: distinct runs, or words, with their counts in the block's training texts."""
 
     def ask(batches):
         for batch in batches:
@@ -340,21 +341,40 @@ def asked(blocks: DataFrame, depth: int, parts: int) -> DataFrame:
                     yield _rows(_ASKS, part=[k], block=[block], words=[True], blob=[_zipped(len(own).to_bytes(8, "little") + _planes(counts[own]) + line)])
                 pa.default_memory_pool().release_unused()
 
-    return blocks.select("block", "held", "texts").mapInArrow(ask, _ASKS)
+    return stage_mapped(blocks.select("block", "held", "texts"), ask, _ASKS, "asks")
+
+
+def _by_part(asks: DataFrame) -> DataFrame:
+    """Each part in one task, its rows one after another."""
+    return asks.repartition("part").sortWithinPartitions("part")
+
+
+def _of_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of rows in the order of their parts, cut where the part changes."""
+    for batch in batches:
+        part = batch.column(0).to_numpy()
+        edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(edges, edges[1:], strict=False):
+            if b > a:
+                yield batch.slice(a, b - a)
 
 
 def counted_runs(asks: DataFrame) -> DataFrame:
-    """The counts of each part's runs; at most a part's distinct runs and one batch are held."""
+    """The counts of each part's runs, staged; at most a part's distinct runs and one batch are held."""
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, keys, counts = 0, np.empty(0, np.uint64), np.empty(0, np.uint64)
-        for batch in batches:
-            part = batch.column(0)[0].as_py()
+        part, keys, counts = None, np.empty(0, np.uint64), np.empty(0, np.uint64)
+        for batch in _of_parts(batches):
+            if (own := batch.column(0)[0].as_py()) != part:
+                if part is not None:
+                    yield _rows(_COUNTS, part=[part], blob=[_packed(keys, counts)])
+                part, keys, counts = own, np.empty(0, np.uint64), np.empty(0, np.uint64)
             held = [(k[c > 0], c[c > 0]) for k, c in (_unpacked(b.as_buffer()) for b in batch.column(1))]
             keys, counts = _sum(np.concatenate([keys, *(k for k, _ in held)]), np.concatenate([counts, *(c for _, c in held)]))
-        yield _rows(_COUNTS, part=[part], blob=[_packed(keys, counts)])
+        if part is not None:
+            yield _rows(_COUNTS, part=[part], blob=[_packed(keys, counts)])
 
-    return asks.where("not words").select("part", "blob").groupBy("part").applyInArrow(merge, _COUNTS)
+    return stage_mapped(_by_part(asks.where("not words").select("part", "blob")), merge, _COUNTS, "runs")
 
 
 def _floats(blob) -> tuple[np.ndarray, np.ndarray]:
@@ -413,9 +433,9 @@ def answered_runs(asks: DataFrame, counted: DataFrame, depth: int) -> DataFrame:
 
 
 def answered_words(asks: DataFrame) -> DataFrame:
-    """The corpus counts of the words of every ask; and for each part a row without block, with the sum of its counts and how many are not 0."""
+    """The corpus counts of the words of every ask, staged; and for each part a row without block, with the sum of its counts and how many are not 0."""
 
-    def answer(table: pa.Table) -> pa.Table:
+    def of_part(table: pa.Table) -> pa.RecordBatch:
         lists, counts = [], []
         for blob in table.column("blob"):
             raw = zstandard.ZstdDecompressor().decompress(blob.as_buffer())
@@ -430,9 +450,14 @@ def answered_words(asks: DataFrame) -> DataFrame:
         blocks, n = table.column("block").to_pylist(), table.num_rows
         blobs = [_zipped(_planes(x)) for x in found]
         part = [table.column("part")[0].as_py()] * (n + 1)
-        return pa.Table.from_batches([_rows(_ANSWERS, part=part, block=[*blocks, None], words=[True] * (n + 1), blob=[*blobs, b""], n=[0] * n + [int(total.sum())], kinds=[0] * n + [int((total > 0).sum())])])
+        return _rows(_ANSWERS, part=part, block=[*blocks, None], words=[True] * (n + 1), blob=[*blobs, b""], n=[0] * n + [int(total.sum())], kinds=[0] * n + [int((total > 0).sum())])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in itertools.groupby(_of_parts(batches), lambda b: b.column(0)[0].as_py()):
+            yield of_part(pa.Table.from_batches(list(own)))
+            pa.default_memory_pool().release_unused()
 
-    return asks.where("words").select("part", "block", "blob").groupBy("part").applyInArrow(answer, _ANSWERS)
+    return stage_mapped(_by_part(asks.where("words").select("part", "block", "blob")), answer, _ANSWERS, "words")
 
 
 _SCORED = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double"
@@ -443,10 +468,10 @@ def score_documents(docs: DataFrame, modulus: int = 7, held: int = 2, depth: int
     if not TOP < depth < 8:
         raise ValueError(f"a run of depth + 1 bytes is one 64-bit integer, and a part has orders from {TOP} on")
     rows, parts = text_rows(docs, (remainder(F.col("doc_id"), modulus) == held).alias("held_out")), _parts(docs)
-    blocks = stage(gathered(rows), "blocks")
-    asks = stage(asked(blocks, depth, parts), "asks")
-    runs = answered_runs(asks, stage(counted_runs(asks), "runs"), depth)
-    words = stage(answered_words(asks), "words")
+    blocks = gathered(rows)
+    asks = asked(blocks, depth, parts)
+    runs = answered_runs(asks, counted_runs(asks), depth)
+    words = answered_words(asks)
     n_words, kinds = words.where("block is null").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("kinds"), F.lit(0))).first()
     ends = blocks.agg(F.coalesce(F.sum("n_train"), F.lit(0))).first()[0]
     total, distinct = n_words + ends, kinds + (ends > 0)

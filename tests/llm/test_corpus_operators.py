@@ -4,12 +4,15 @@ import math
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
+import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from chunkyard.llm import ctw, simhash
+from chunkyard.llm import common, ctw, simhash
 
 LOW = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -142,6 +145,24 @@ def test_blocks_change_no_score(spark, monkeypatch):
     assert result() == whole
 
 
+def test_blobs_are_staged_without_the_jvms_writer(spark, monkeypatch):
+    """Python workers write the staged tables, in row groups of bounded size, and only the files of tasks that ended well are read."""
+    staged = []
+    monkeypatch.setattr(ctw, "stage_mapped", lambda *a: staged.append(common.stage_mapped(*a)) or staged[-1])
+    monkeypatch.setattr(common, "stage", lambda *a: pytest.fail("written by Spark"))
+    monkeypatch.setattr(common, "GROUP_BYTES", 2_000)
+    monkeypatch.setattr(ctw, "BLOCK_BYTES", 900)
+    assert ctw.score_documents(docs(spark)).count() == len(TEXTS)
+    files = [[f.removeprefix("file:").replace("///", "/") for f in df.inputFiles()] for df in staged]
+    assert len(files) == 4 and all(files)
+    assert all(pq.ParquetFile(f).metadata.created_by.startswith("parquet-cpp") for own in files for f in own)
+    asks = [pq.ParquetFile(f).metadata for f in files[1]]
+    assert sum(m.num_row_groups for m in asks) > len(asks)
+    folder = Path(files[1][0]).parent
+    Path(f"{folder}.writing", "part-of-a-lost-task.parquet").write_bytes(b"half")
+    assert staged[1].count() == sum(m.num_rows for m in asks)
+
+
 def test_depth_is_the_same_for_every_input_and_shards_change_no_score(spark):
     rng = np.random.default_rng(5)
     noise = [(200 + i, bytes(rng.integers(33, 127, 3000, dtype=np.uint8)).decode()) for i in range(30)]
